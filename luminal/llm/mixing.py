@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from luminal.llm.common import SPACE, cut
 
-CELL_ROWS = 20_000  # a cell is what one window task ranks
+CELL_ROWS = 500  # a cell is what one window group ranks
 
 
 def word_count(text: Column) -> Column:
@@ -51,11 +51,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         word_count(F.col(text_col)).alias("size"),
     )
     sized = cut(sized, "mix-sizes")
-    salts = 1 + sized.count() // CELL_ROWS
     md5 = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
     # cells cut a source into pieces one task can rank: by size (an eighth of a doubling), and within it by hash,
     # since a third of all rows may be copies of one size
-    sized = sized.withColumn("band", F.floor(F.log2(F.col("size") + F.lit(1.0)) * 8).cast("int")).withColumn("salt", (md5(F.coalesce(F.col("id").cast("string"), F.lit(""))) % salts).cast("int"))
+    sized = sized.withColumn("band", F.floor(F.log2(F.col("size") + F.lit(1.0)) * 8).cast("int"))
+    bands = sized.groupBy("skey", "band").agg((1 + F.floor(F.count("*") / CELL_ROWS)).alias("salts"))
+    sized = sized.join(bands, ["skey", "band"]).withColumn("salt", md5(F.coalesce(F.col("id").cast("string"), F.lit(""))) % F.col("salts")).drop("salts")
     cell = ["skey", "band", "salt"]
     cells = sized.groupBy(cell).agg(F.count("*").alias("n"), F.sum("size").alias("cell_size"))
     cells = cut(cells, "mix-cells")

@@ -11,13 +11,38 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark, sf_dir):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from luminal.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from luminal.llm.counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op10_fingerprints(spark, sf_dir):
+    from luminal.llm.minhash import edited_likeness
+
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     from luminal.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op6_mixing)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op6_mixing, op7_token_counts, op10_fingerprints)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """

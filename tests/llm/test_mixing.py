@@ -23,7 +23,7 @@ def fill(sizes, weights, cap=3.0):
 
 def test_targets_and_copies(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CELL_ROWS", 50)
-    rows = [(i, " ".join(["w"] * (i % 37 + 1)), "abcdefg"[int(math.sqrt(i % 50))]) for i in range(3000)]
+    rows = [(i, " ".join(["w"] * (i % 37 + 1)), "abcdefgh"[int(math.sqrt(i % 50))]) for i in range(3000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, size int")
     out = mixing.mix(df).collect()
     sizes = {}
