@@ -22,6 +22,12 @@ def op2_bpe(spark, sf_dir):
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_simhash(spark, sf_dir):
+    from luminal.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, lanes=1, most=4)
+
+
 def op7_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -42,7 +48,7 @@ def op6_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op6_mixing, op7_token_counts, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_simhash, op6_mixing, op7_token_counts, op10_fingerprints)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
