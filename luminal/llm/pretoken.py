@@ -114,12 +114,9 @@ def exchange(docs: DataFrame, answer: Callable[[], Callable[[list[bytes]], bytes
                     start, held = i, 0
                 held += n or 0
 
-    def only(documents: bool):
-        def keep(batches):
-            for b in batches:
-                yield b.filter(pa.compute.is_null(b["owner"]) if documents else pa.compute.is_valid(b["owner"]))
-
-        return keep
+    def messages(batches):
+        for b in batches:
+            yield b.filter(pa.compute.is_valid(b["owner"]))
 
     def own(batches):
         work = answer()
@@ -131,17 +128,17 @@ def exchange(docs: DataFrame, answer: Callable[[], Callable[[list[bytes]], bytes
         by_owner = dict(zip(right["owner"].to_pylist(), right["answer"].to_pylist(), strict=True))
         answers = [by_owner[o] for o in sorted(by_owner)]
         tables = []
-        for row in left.to_pylist():
+        for row in left.filter(pa.compute.is_null(left["owner"])).to_pylist():
             tables.append(finish(row["ids"], np.array(row["sizes"], np.int64), np.frombuffer(row["lens"], "<u4").astype(np.int64), unpack_labels(row["data"]), answers))
         return pa.concat_tables(tables) if tables else out_arrow.empty_table()
 
     out_arrow = docs.sparkSession.createDataFrame([], out_schema).toArrow().schema
-    # both sides read this one exchange; the choice is made in Python so that no filter moves below it
+    # both sides read this one exchange, and the documents' side of the cogroup has no other; messages are told
+    # apart in Python so that no filter moves below it
     sent = docs.mapInArrow(split, schema).repartition(tasks(spark), "block")
-    asked = sent.mapInArrow(only(False), schema).repartition(tasks(spark), "owner")
+    asked = sent.mapInArrow(messages, schema).repartition(tasks(spark), "owner")
     answered = asked.mapInArrow(own, "block long, owner int, answer binary")
-    kept = sent.mapInArrow(only(True), schema)
-    return kept.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(join, out_schema)
+    return sent.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(join, out_schema)
 
 
 def spans(lens: np.ndarray, labels: np.ndarray) -> np.ndarray:
