@@ -5,6 +5,13 @@ from __future__ import annotations
 from luminal.llm.common import table
 
 
+def op1_url_filters(spark, sf_dir):
+    from luminal.llm.urls import UrlRule, judge
+
+    rules = [UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/")]
+    return judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op3_exact_dedup(spark, sf_dir):
     from luminal.llm.exact import exact_duplicates
 
@@ -48,7 +55,25 @@ def op6_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_exact_dedup, op4_simhash, op6_mixing, op7_token_counts, op10_fingerprints)}
+def op8_quality(spark, sf_dir):
+    from luminal.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_pii(spark, sf_dir):
+    from luminal.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), key=spark.conf.get("luminal.pii.key", "not a secret"))
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_exact_dedup, op4_simhash, op6_mixing, op7_token_counts, op8_quality, op9_pii, op10_fingerprints, pipeline)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
