@@ -35,6 +35,15 @@ def op4_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, lanes=1, most=4)
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from luminal.llm.suffix import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -73,7 +82,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_exact_dedup, op4_simhash, op6_mixing, op7_token_counts, op8_quality, op9_pii, op10_fingerprints, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_exact_dedup, op4_simhash, op5_suffix_dedup, op6_mixing, op7_token_counts, op8_quality, op9_pii, op10_fingerprints, pipeline)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
