@@ -28,7 +28,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier scores one half or more. It is fitted on labelled rows of this stage's
     own input. Null and empty texts are scored too; without labels nothing is dropped."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, score_col="_score").filter("_score >= 0.5").drop("_score")
+    rows = score(docs, model, score_col="_score")
+    # exploded rather than filtered: a filter would move below the projection and work every statistic out again
+    kept = F.when(F.col("_score") >= 0.5, F.array(F.struct(*docs.columns)))
+    return rows.select(F.explode(kept).alias("_row")).select("_row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,20 +33,30 @@ SHARES = {
 NAMES = [*SHARES, "log_chars", "log_words", "word_length", "repeats", "distinct", "longest_word"]
 
 
+def _word_facts(text: Column) -> Column:
+    """(many, repeats, distinct, longest) of the words of a text. The words are bound once, as the one element of an
+    array: named inside a lambda, their expression would be worked out again for every word."""
+    facts = lambda ws: F.struct(
+        F.size(ws).alias("many"),
+        F.size(F.filter(ws, lambda w, i: (i > 0) & (w == F.get(ws, i - 1)))).alias("repeats"),
+        F.size(F.array_distinct(ws)).alias("distinct"),
+        F.coalesce(F.array_max(F.transform(ws, F.char_length)), F.lit(0)).alias("longest"),
+    )
+    return F.transform(F.array(words(text)), facts)[0]
+
+
 def statistics(df: DataFrame, text: Column) -> DataFrame:
     """df with one double column st_<name> for each of NAMES. A null text counts as empty; of an empty text all are 0."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.char_length("_t")
+    n, w = F.char_length("_t"), F.col("_w")
     over = lambda count, total: F.when(total > 0, count / total).otherwise(0.0)
-    out = df.withColumn("_t", t).withColumn("_w", words(F.col("_t")))
-    many = F.size("_w")
+    out = df.withColumn("_t", F.coalesce(text, F.lit(""))).withColumn("_w", _word_facts(F.col("_t")))
     made = {k: over(F.regexp_count("_t", F.lit(p)), n) for k, p in SHARES.items()} | {
         "log_chars": F.log1p(n.cast("double")),
-        "log_words": F.log1p(many.cast("double")),
-        "word_length": over(n - many, many),
-        "repeats": over(F.size(F.filter("_w", lambda w, i: (i > 0) & (w == F.get("_w", i - 1)))), many),
-        "distinct": over(F.size(F.array_distinct("_w")), many),
-        "longest_word": F.coalesce(F.array_max(F.transform("_w", F.char_length)).cast("double"), F.lit(0.0)),
+        "log_words": F.log1p(w["many"].cast("double")),
+        "word_length": over(n - w["many"], w["many"]),
+        "repeats": over(w["repeats"], w["many"]),
+        "distinct": over(w["distinct"], w["many"]),
+        "longest_word": w["longest"],
     }
     return out.withColumns({f"st_{k}": made[k].cast("double") for k in NAMES}).drop("_t", "_w")
 
