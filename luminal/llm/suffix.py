@@ -206,28 +206,39 @@ def _firsts(group: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarra
     return out
 
 
-def window_rows(keys: np.ndarray, rows: np.ndarray, low, high, ids, places, at, blocks, length: int):
-    """Every window of some anchors: (hash, id, place in its text, block, place in its block)."""
+def windows_of(keys: np.ndarray, rows: np.ndarray, low, high, ids, places, at, blocks, length: int) -> list[np.ndarray]:
+    """Every window of some anchors: hash (two halves), id, place in its text, block, place in its block."""
     n = (high - low + 1)[rows]
     each = np.repeat(rows, n)
     delta = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[each]
     hashes = []
     for r in rows.tolist():
-        key = keys[r].tobytes()
-        whole = key[length + 2 :][::-1][-int(high[r]) :] + key[:length] if high[r] else key[:length]
-        for d in range(int(low[r]), int(high[r]) + 1):
-            begin = int(high[r]) - d
-            hashes.append(xxhash.xxh3_128_digest(whole[begin : begin + length]))
-    return hashes, ids[each], places[each] - delta, blocks[each], at[each] - delta
+        key, l, h = keys[r].tobytes(), int(low[r]), int(high[r])
+        whole = key[length + 2 : length + 2 + h][::-1] + key[:length]
+        hashes += [xxhash.xxh3_128_digest(whole[h - d : h - d + length]) for d in range(l, h + 1)]
+    halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+    return [halves[:, 0].copy(), halves[:, 1].copy(), ids[each], places[each] - delta, blocks[each], at[each] - delta]
 
 
-WINDOWS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("run", pa.binary()), ("data", pa.binary()), ("marks", pa.binary()), ("hash", pa.binary()), ("id", pa.int64()), ("place", pa.int64()), ("at", pa.int64())])
-OUT = "block long, part int, run binary, data binary, marks binary, hash binary, id long, place long, at long"
+def settle(windows: list[np.ndarray]) -> tuple[pa.Table, list[np.ndarray]]:
+    """Of equal windows all but the earliest repeat: their marks; and the others."""
+    one, two, ids, places, blocks, at = windows
+    order = np.lexsort((two, one))
+    new = np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new)
+    mine = np.arange(len(group))
+    later = _later(ids, places, mine, _firsts(group, ids, places))[0]
+    return _marks(blocks[later], at[later], at[later]), [w[~later] for w in windows]
+
+
+SENT = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("run", pa.binary()), ("data", pa.binary()), ("marks", pa.binary()), ("windows", pa.binary())])
+OUT = "block long, part int, run binary, data binary, marks binary, windows binary"
 
 
 def _rows(**columns) -> pa.Table:
     n = max(len(c) for c in columns.values())
-    return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in WINDOWS], schema=WINDOWS)
+    return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in SENT], schema=SENT)
 
 
 def _marks(block, low, high) -> pa.Table:
@@ -240,11 +251,6 @@ def _marks(block, low, high) -> pa.Table:
     return _rows(block=names, marks=[pack(low[p], high[p]) for p in parts])
 
 
-def _windows(found) -> pa.Table:
-    hashes, ids, places, blocks, at = found
-    return _rows(block=blocks, hash=hashes, id=ids, place=places, at=at)
-
-
 def _blocked(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     total = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -319,19 +325,16 @@ def repeated_windows(docs: DataFrame, blocks: int, length: int, k: int) -> DataF
             parts = [(r, sent[b:e]) for r, (b, e) in enumerate(zip(begins, begins[1:], strict=False)) if b < e]
             out.append(_rows(block=[name] * len(parts), part=[r for r, _ in parts], run=[front_code([flat[i] for i in p.tolist()], size) for _, p in parts], data=[pack(ids[p], places[p], at[p]) for _, p in parts]))
         if hot[order].any():
-            found = window_rows(keys, order[hot[order]], low, high, ids, places, at, np.full(len(at), name), length)
-            out.append(local_firsts(found))
+            repeats, windows = settle(windows_of(keys, order[hot[order]], low, high, ids, places, at, np.full(len(at), name), length))
+            owner = windows[0].view(np.uint64) % np.uint64(ranges)
+            by = [(o, np.flatnonzero(owner == o)) for o in np.unique(owner)]
+            out += [repeats, _rows(block=[name] * len(by), part=[o for o, _ in by], windows=[pack(*[w[i] for w in windows]) for _, i in by])]
         return pa.concat_tables(out)
 
-    def local_firsts(found) -> pa.Table:
-        """Of equal windows the earliest goes on; the others repeat."""
-        hashes, ids, places, blocks, at = found
-        _, group = np.unique(np.array(hashes, "V16"), return_inverse=True)
-        first = _firsts(group, ids, places)
-        mine = np.arange(len(group))
-        later = _later(ids, places, mine, first)[0]
-        keep = np.flatnonzero(~later)
-        return pa.concat_tables([_marks(blocks[later], at[later], at[later]), _windows(([hashes[i] for i in keep.tolist()], ids[keep], places[keep], blocks[keep], at[keep]))])
+    def meet(table: pa.Table) -> pa.Table:
+        """Windows of hot anchors that one hash range has from all blocks, each block having sent one of each."""
+        pieces = [unpack(w, 6) for w in table["windows"].to_pylist()]
+        return settle([np.concatenate(x) for x in zip(*pieces, strict=True)])[0]
 
     def combine(table: pa.Table) -> pa.Table:
         """Merge the runs of a range, and compare the suffixes of each k-gram."""
@@ -375,8 +378,8 @@ def repeated_windows(docs: DataFrame, blocks: int, length: int, k: int) -> DataF
                 for rows, late in ((a, a_late & (d_low <= d_high)), (b, b_late & (d_low <= d_high))):
                     marked.append((blocks[rows[late]], at[rows[late]] - d_high[late], at[rows[late]] - d_low[late]))
         tables = [_marks(*[np.concatenate(x) for x in zip(*marked, strict=True)])]
-        if len(large):
-            tables.append(_windows(window_rows(keys, large, low, high, ids, places, at, blocks, length)))
+        if len(large):  # all suffixes of a k-gram that is not hot are here, so its windows are settled here
+            tables.append(settle(windows_of(keys, large, low, high, ids, places, at, blocks, length))[0])
         return pa.concat_tables(tables)
 
     asked = cut(docs.groupBy("block").applyInArrow(ask, "block long, owner int, message binary, counts binary, grams array<binary>"), "suffix-asked")
@@ -386,13 +389,9 @@ def repeated_windows(docs: DataFrame, blocks: int, length: int, k: int) -> DataF
     splitters = spark.sparkContext.broadcast([sample[i * len(sample) // ranges] for i in range(1, ranges)] if len(sample) >= ranges else [])
     answered = asked.select("block", "owner", "message", "counts").groupBy("owner").applyInPandas(answer, "block long, owner int, shared binary, hot binary")
     runs = cut(docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, OUT), "suffix-runs")
-    merged = cut(runs.filter("run is not null").groupBy("part").applyInArrow(combine, OUT), "suffix-merged")
-    both = runs.unionByName(merged)
-    # groups too large to compare: their windows meet by hash, pre-aggregated, and the earliest of each is joined back
-    windows = both.filter("hash is not null").select("hash", "id", "place", "block", "at")
-    firsts = windows.groupBy("hash").agg(F.min(F.struct("id", "place")).alias("first"))
-    repeats = windows.join(firsts, "hash").filter("struct(id, place) > first").groupBy("block").agg(F.collect_list("at").alias("starts"))
-    return both.filter("marks is not null").select("block", "marks", F.lit(None).cast("array<long>").alias("starts")).unionByName(repeats.select("block", F.lit(None).cast("binary").alias("marks"), "starts"))
+    merged = runs.filter("run is not null").groupBy("part").applyInArrow(combine, OUT)
+    met = runs.filter("windows is not null").groupBy("part").applyInArrow(meet, OUT)
+    return runs.unionByName(merged).filter("marks is not null").unionByName(met.filter("marks is not null")).select("block", "marks")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, k: int = 32) -> DataFrame:
@@ -414,8 +413,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = []
         if block:
             turn = np.zeros(len(block.bytes) + 1, np.int32)
-            for data, starts in zip(right["marks"].to_pylist(), right["starts"].to_pylist(), strict=True):
-                low, high = unpack(data, 2) if data is not None else (np.array(starts, np.int64),) * 2
+            for data in right["marks"].to_pylist():
+                low, high = unpack(data, 2)
                 np.add.at(turn, low, 1)
                 np.add.at(turn, high + length, -1)
             gone = np.cumsum(turn)[:-1] > 0
