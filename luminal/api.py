@@ -74,7 +74,7 @@ class Engine:
     def select(self, criteria: dict) -> DataFrame:
         from luminal.functions.predicates import compile_query
 
-        self.selected = compile_query(criteria)
+        self.selected = F.coalesce(compile_query(criteria), F.lit(False))
         return self.datasets.get().withColumn("selected", self.selected)
 
     def stats(self) -> dict:

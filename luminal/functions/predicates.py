@@ -29,7 +29,8 @@ CONDITIONS = {
 
 
 def compile_query(criteria: dict) -> Column:
-    """{field: value or {$op: value, ...}, $and/$or: [criteria, ...]}; all parts hold. What is null is false."""
+    """{field: value or {$op: value, ...}, $and/$or: [criteria, ...]}; all parts hold. As a filter, what is null is
+    false; nothing is wrapped about the comparisons, so that they reach the scan."""
     out = F.lit(True)
     for name, want in criteria.items():
         if name in ("$and", "$or"):
@@ -44,7 +45,7 @@ def compile_query(criteria: dict) -> Column:
                 out = out & OPERATORS[op](field(name), v)
         else:
             out = out & OPERATORS["$eq"](field(name), want)
-    return F.coalesce(out, F.lit(False))
+    return out
 
 
 def query(df: DataFrame, criteria: dict) -> DataFrame:

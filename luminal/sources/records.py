@@ -11,11 +11,16 @@ TYPES = ("sphere", "box", "cone", "cylinder", "octahedron", "dodecahedron", "ico
 
 
 def load_tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
-    """Parquet tables of a folder; times without a zone become timestamps."""
+    """Parquet tables of a folder. Times without a zone are read as timestamps, in UTC: as a schema rather than a cast,
+    so that filters on them still reach the scan."""
     out = []
     for n in names:
-        df = spark.read.parquet(f"{folder}/{n}.parquet")
-        out.append(df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"}))
+        path = f"{folder}/{n}.parquet"
+        df = spark.read.parquet(path)
+        if any(t == "timestamp_ntz" for _, t in df.dtypes):
+            kinds = ", ".join(f"`{c}` {'timestamp' if t == 'timestamp_ntz' else t}" for c, t in df.dtypes)
+            df = spark.read.schema(kinds).parquet(path)
+        out.append(df)
     return out
 
 
