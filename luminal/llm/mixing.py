@@ -54,7 +54,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     md5 = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
     # cells cut a source into pieces one task can rank: by size (an eighth of a doubling), and within it by hash,
     # since a third of all rows may be copies of one size
-    sized = sized.withColumn("band", F.floor(F.log2(F.col("size") + F.lit(1.0)) * 8).cast("int"))
+    more, doubling = F.col("size") + 1, F.length(F.bin(F.col("size") + 1)) - 1
+    sized = sized.withColumn("band", (doubling * 8 + F.floor(more * 8 / F.pow(F.lit(2.0), doubling)) - 8).cast("int"))
     bands = sized.groupBy("skey", "band").agg((1 + F.floor(F.count("*") / CELL_ROWS)).alias("salts"))
     sized = sized.join(bands, ["skey", "band"]).withColumn("salt", md5(F.coalesce(F.col("id").cast("string"), F.lit(""))) % F.col("salts")).drop("salts")
     cell = ["skey", "band", "salt"]

@@ -6,10 +6,12 @@ from luminal.llm.common import table
 
 
 def op1_url_filters(spark, sf_dir):
+    from pyspark.sql import functions as F
+
     from luminal.llm.urls import UrlRule, judge
 
     rules = [UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/")]
-    return judge(table(spark, sf_dir, "pages"), rules)
+    return judge(table(spark, sf_dir, "pages"), rules).withColumn("purity", F.round("purity", 9))
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -84,10 +86,50 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_exact_dedup, op4_simhash, op5_suffix_dedup, op6_mixing, op7_token_counts, op8_quality, op9_pii, op10_fingerprints, pipeline)}
 
+#: A level of the template tree of op1: segment k of the rows of l<k-1>, and what becomes of it.
+_LEVEL = """
+    s{k} AS (SELECT *, coalesce(segs[{k}], chr(1)) AS seg, segs[{k} + 1] AS below FROM l{j}),
+    b{k} AS (SELECT host, node, seg, sum(n) AS n, sum(bad) AS bad, sum(CASE WHEN below IS NULL THEN n ELSE 0 END) AS last, sum(CASE WHEN contains(below, '#') THEN n ELSE 0 END) AS numbered FROM s{k} GROUP BY ALL),
+    w{k} AS (SELECT *, count(*) OVER p AS kinds, sum(n) OVER p AS an, sum(bad) OVER p AS ab, sum(last) OVER p AS al, sum(numbered) OVER p AS ad FROM b{k} WINDOW p AS (PARTITION BY host, node)),
+    c{k} AS (SELECT *, CASE WHEN n * al / an > 0 THEN pow(last - n * al / an, 2) / (n * al / an) ELSE 0 END + CASE WHEN n * ad / an > 0 THEN pow(numbered - n * ad / an, 2) / (n * ad / an) ELSE 0 END
+        + CASE WHEN n * (an - al - ad) / an > 0 THEN pow(n - last - numbered - n * (an - al - ad) / an, 2) / (n * (an - al - ad) / an) ELSE 0 END AS chi2, sqrt(ab / an * (1 - ab / an) * (1 / n + 1 / an)) AS spread FROM w{k}),
+    t{k} AS (SELECT host, node, seg, CASE WHEN seg = chr(1) THEN '' WHEN seg = '' THEN '/' WHEN contains(seg, '#') OR seg = '**' OR kinds >= 20 AND n * 20 < an
+        OR kinds > 1 AND chi2 < 5.99 AND CASE WHEN spread > 0 THEN abs(bad / n - ab / an) / spread ELSE 0 END < 1.96 THEN '/*' ELSE '/' || seg END AS token FROM c{k}),
+    l{k} AS (SELECT s.host, s.shape, s.segs, s.node || token AS node, s.n, s.seen, s.bad FROM s{k} s JOIN t{k} t ON s.host = t.host AND s.node = t.node AND s.seg = t.seg),"""
+
 ORACLE_SQL = {
+    "op1_url_filters": r"""
+    WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    u AS (SELECT *, CASE WHEN ('.' || host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/' WHEN ('.' || host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+        WHEN ('.' || host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN ('.' || host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p),
+    v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM u),
+    g AS (SELECT host, shape, count(*) AS n, count(said) AS seen, count(*) FILTER (WHERE said = 'block') AS bad, string_split(shape, '/')[2:] AS parts FROM v GROUP BY host, shape),
+    l0 AS (SELECT host, shape, CASE WHEN len(parts) > 4 THEN list_concat(parts[1:3], ['**']) ELSE parts END AS segs, '' AS node, n::DOUBLE AS n, seen::DOUBLE AS seen, bad::DOUBLE AS bad FROM g),"""
+    + "".join(_LEVEL.format(k=k, j=k - 1) for k in (1, 2, 3, 4))
+    + """
+    q AS (SELECT CASE WHEN sum(seen) > 0 THEN sum(bad) / sum(seen) ELSE 0.0 END AS prior FROM l0),
+    f AS (SELECT host, node, (sum(bad) + any_value(prior) * (4 + (sum(n) - sum(seen)) / 2)) / (sum(seen) + 4 + (sum(n) - sum(seen)) / 2) AS purity FROM l4, q GROUP BY host, node)
+    SELECT v.page_id, v.host, v.path, v.rule, v.host || l4.node AS template, round(f.purity, 9) AS purity, coalesce(v.said, CASE WHEN f.purity >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM v JOIN l4 ON v.host = l4.host AND v.shape = l4.shape JOIN f ON l4.host = f.host AND l4.node = f.node""",
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op6_mixing": r"""
+    WITH d AS (SELECT doc_id AS id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+    b AS (SELECT *, 8 * (length(bin(size + 1)) - 1) + floor((size + 1) * 8 / pow(2.0, length(bin(size + 1)) - 1))::BIGINT - 8 AS band FROM d),
+    c AS (SELECT *, count(*) OVER (PARTITION BY skey, band) AS k FROM b),
+    s AS (SELECT *, ('0x' || substr(md5(coalesce(id::VARCHAR, '')), 1, 8))::BIGINT % (1 + k // 500) AS salt FROM c),
+    cells AS (SELECT skey, band, salt, count(*) AS n, sum(size) AS cell_size FROM s GROUP BY ALL),
+    offs AS (SELECT skey, band, salt, sum(n) OVER (PARTITION BY skey ORDER BY band, salt) - n AS base FROM cells),
+    src AS (SELECT skey, sum(cell_size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY skey) - 1) % 3 + 1]::DOUBLE AS w FROM cells GROUP BY skey),
+    r AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / w AS ratio FROM src),
+    l AS (SELECT *, ((SELECT sum(source_size) FROM src)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam FROM r),
+    lv AS (SELECT arg_min(lam, (ratio, skey)) FILTER (WHERE lam <= ratio) AS level FROM l),
+    t AS (SELECT skey, source_size, CASE WHEN level IS NULL OR ratio <= level THEN cap ELSE level * w END AS target, ('0x' || substr(md5('0/' || skey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM l, lv),
+    p AS (SELECT s.id, s.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate, base + row_number() OVER (PARTITION BY s.skey, s.band, s.salt ORDER BY s.size, s.id NULLS FIRST) AS i
+        FROM s JOIN offs o ON s.skey = o.skey AND s.band = o.band AND s.salt = o.salt JOIN t ON s.skey = t.skey),
+    q AS (SELECT *, (floor(i::BIGINT * rate + u) - floor((i::BIGINT - 1) * rate + u))::BIGINT AS copies FROM p)
+    SELECT id AS doc_id, size, source_size, target, copies, copies * size AS taken FROM q""",
 }
