@@ -130,7 +130,13 @@ def sign_color(value: Column) -> Column:
 def heatmap(value: Column, low: float, high: float, palette: Sequence[str] = tuple(HEATMAP)) -> Column:
     """Between neighbouring colours of the palette, clamped."""
     at = clamp((value.cast("double") - low) / (high - low)) * (len(palette) - 1)
-    return lerp(pick(palette, F.floor(at)), pick(palette, F.ceil(at)), at - F.floor(at))
+
+    def channel(i: int) -> Column:
+        levels = F.array(*[F.lit(int(c[1 + 2 * i : 3 + 2 * i], 16)) for c in palette])
+        below = F.element_at(levels, (F.floor(at) + 1).cast("int"))
+        return below + (F.element_at(levels, (F.ceil(at) + 1).cast("int")) - below) * (at - F.floor(at))
+
+    return to_hex(channel(0), channel(1), channel(2))
 
 
 def domain_color(value: Column, domain: str | None, scale: str | None, kind: str | None, id_: Column) -> Column:

@@ -35,31 +35,34 @@ ORDER_TYPES = {
 }
 
 
-def fix_tag(message: Column, tag: str, separator: str = "|") -> Column:
-    """The value of a tag: the last one given that is not empty, as far as a second '='."""
-    sep = "\\" + separator
-    found = F.regexp_extract_all(F.concat(F.lit(separator), message), F.lit(f"(?<=^|{sep}){tag}=([^{sep}=]+)"), F.lit(1))
-    return F.element_at(F.when(F.size(found) > 0, found), -1)
+def fix_pairs(message: Column, separator: str = "|") -> Column:
+    """[tag, value] of each part that has both; a value goes as far as a second '='."""
+    return F.filter(F.transform(F.split(message, "\\" + separator), lambda p: F.split(p, "=")), lambda p: (F.size(p) >= 2) & (p[0] != "") & (p[1] != ""))
+
+
+def fix_tag(pairs: Column, tag: str) -> Column:
+    """The last value of a tag."""
+    return F.try_element_at(F.filter(pairs, lambda p: p[0] == tag), F.lit(-1))[1]
 
 
 def fix_tags(message: Column, separator: str = "|") -> Column:
     """All tags as a map, the last value of each counting."""
-    pairs = F.filter(F.transform(F.split(message, "\\" + separator), lambda p: F.split(p, "=")), lambda p: (F.size(p) >= 2) & (p[0] != "") & (p[1] != ""))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.lit(1), F.size(pairs))), lambda q: q[0] == p[0]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p[0], p[1])))
+    last = lambda pairs: F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.lit(1), F.size(pairs))), lambda q: q[0] == p[0]))
+    kept = F.transform(F.array(fix_pairs(message, separator)), last)[0]  # bound once, not again for each pair
+    return F.map_from_entries(F.transform(kept, lambda p: F.struct(p[0], p[1])))
 
 
 def fix_records(df: DataFrame, message: str = "message", separator: str = "|") -> DataFrame:
     """df with id, symbol, side, quantity, price, status, leaves_qty, cum_qty, avg_px and names of the codes. Numbers that
     cannot be read are 0."""
-    tag = lambda t: fix_tag(F.col(message), t, separator)
+    tag = lambda t: fix_tag(F.col("_pairs"), t)
     num = lambda t: F.coalesce(tag(t).try_cast("double"), F.lit(0.0))
     name = lambda t, table: F.coalesce(lookup(tag(t), table), tag(t))
     kind = F.coalesce(lookup(tag("35"), MSG_TYPES), F.when(tag("35").isNotNull(), F.concat(F.lit("Unknown("), tag("35"), F.lit(")"))))
-    return df.withColumns({
+    return df.withColumn("_pairs", fix_pairs(F.col(message), separator)).withColumns({
         "id": F.coalesce(tag("11"), tag("37")), "msg_type": kind, "symbol": tag("55"), "side": name("54", SIDES), "quantity": num("38"), "price": num("44"), "status": name("39", ORDER_STATUS),
         "exec_type": name("150", EXEC_TYPES), "order_type": name("40", ORDER_TYPES), "leaves_qty": num("151"), "cum_qty": num("14"), "avg_px": num("6"), "sent": tag("60"),
-    })
+    }).drop("_pairs")
 
 
 def pdb_atoms(lines: DataFrame) -> DataFrame:

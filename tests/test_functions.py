@@ -109,7 +109,7 @@ def test_formats(spark):
     fix = spark.createDataFrame([("8=FIX|35=D|11=1|11=2|54=1|38=x|44=2.5|58=a=b|40=2",)], "message string")
     r = formats.fix_records(fix).first()
     assert (r.id, r.msg_type, r.side, r.quantity, r.price, r.order_type) == ("2", "NewOrderSingle", "BUY", 0.0, 2.5, "LIMIT")
-    assert fix.select(formats.fix_tags(F.col("message"))).first()[0]["58"] == "a"
+    assert fix.select(formats.fix_tags(F.col("message"))).first()[0] == {"8": "FIX", "35": "D", "11": "2", "54": "1", "38": "x", "44": "2.5", "58": "a", "40": "2"}
     lines = ["ATOM      1  CA  ALA A   1      11.104   6.134  -6.504  0.00 10.00           C", "HETATM    2  O   HOH B   2       1.000   2.000   3.000", "CONECT    1    2    x"]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     atoms = formats.pdb_atoms(df).orderBy("serial").collect()
