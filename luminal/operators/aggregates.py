@@ -105,6 +105,17 @@ def mapper_graph(points: DataFrame, lens: str, intervals: int, overlap: float, c
     return nodes, edges
 
 
+def terrain(points: DataFrame, size: int, cell: float, reach: float, scale: float = 1.0) -> DataFrame:
+    """gx, gz, height over a grid of size by size cells: log(1 + sum exp(-2 d)) of the points (x, z) within reach, which
+    makes each point meet a bounded number of cells; what lies further off would add less than exp(-2 reach)."""
+    n = int(reach // cell) + 1
+    near = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col(c) / cell).cast("int") - n), F.least(F.lit(size - 1), F.floor(F.col(c) / cell).cast("int") + n)))
+    inside = points.filter((F.col("x") >= -reach) & (F.col("x") < size * cell + reach) & (F.col("z") >= -reach) & (F.col("z") < size * cell + reach))
+    met = inside.withColumn("gx", near("x")).withColumn("gz", near("z"))
+    d = F.sqrt((F.col("x") - F.col("gx") * cell) * (F.col("x") - F.col("gx") * cell) + (F.col("z") - F.col("gz") * cell) * (F.col("z") - F.col("gz") * cell))
+    return met.withColumn("_d", d).filter(F.col("_d") <= reach).groupBy("gx", "gz").agg((F.ln(F.sum(F.exp(F.col("_d") * -2)) + 1) * scale).alias("height"))
+
+
 def kmeans(df: DataFrame, vector: str, k: int = 5, iterations: int = 20, seed: int = 42, dims: int = 3) -> DataFrame:
     """df with cluster (0 to k-1), by the first dims numbers of vector; -1 throughout if there are fewer rows than k."""
     from pyspark.ml.clustering import KMeans

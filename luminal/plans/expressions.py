@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from luminal.functions import astro, color, hashing, scales, vectors
+from luminal.functions import astro, color, hashing, scales, signals, vectors
 from luminal.functions.dsl import compile_transform, label, parse_transform_expression, transform_fields
 from luminal.functions.predicates import query as where
 from luminal.operators import domains, mapping
@@ -237,3 +237,25 @@ def uncertainty_style(customer):
 def memory_age(orders):
     m = mapping.memory_age(F.col("o_orderdate"), F.lit("1998-12-31").cast("date"))
     return orders.filter("o_orderdate < timestamp'1998-12-31'").select("o_orderkey", r6(m["confidence"]).alias("confidence"), r6(m["size"]).alias("size"))
+
+
+@query("lineitem", sql="""
+    SELECT l_orderkey, l_linenumber, round(greatest(0.5, ln(l_extendedprice) / 5), 6) + 0.0 AS height, CASE WHEN l_discount >= 0.05 THEN '#00d4aa' ELSE '#ff3864' END AS color, round(greatest(0.02, log10(l_quantity / 10 + 1) / 10), 6) + 0.0 AS size FROM lineitem""")
+def market_columns(lineitem):
+    return lineitem.select(*LINE, r6(signals.column_height(F.col("l_extendedprice"))).alias("height"), color.sign_color(F.col("l_discount") - 0.05).alias("color"), r6(signals.point_size(F.col("l_quantity"))).alias("size"))
+
+
+@query("customer", sql="""
+    SELECT c_custkey, round(sqrt(pow(c_acctbal, 2) + pow(c_custkey, 2)), 5) + 0.0 AS length, round(degrees(atan2(c_acctbal, c_custkey)), 5) + 0.0 AS bearing,
+      round(1 / (1 + c_custkey % 50 * 0.1) * cos(radians(c_custkey % 60)) * least(c_custkey % 900 / 500.0, 1.0), 6) + 0.0 AS gaze FROM customer""")
+def roads_and_gaze(customer):
+    k = F.col("c_custkey")
+    length, bearing = signals.road(F.lit(0.0), F.lit(0.0), F.col("c_acctbal"), k.cast("double"))
+    return customer.select("c_custkey", r6(length, 5).alias("length"), r6(bearing, 5).alias("bearing"), r6(signals.gaze_confidence(k % 50, k % 60, k % 900)).alias("gaze"))
+
+
+@query("orders", sql="SELECT o_orderkey, round(r[1] + t * (r[2] - r[1]), 6) + 0.0 AS x, CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice < 250000 THEN 'mid' ELSE 'high' END AS band FROM (SELECT *, [0.0, 50.0] AS r, greatest(0.0, least(1.0, (epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1993-01-01')) / (epoch_us(TIMESTAMP '1997-01-01') - epoch_us(TIMESTAMP '1993-01-01'))::DOUBLE)) AS t FROM orders)")
+def time_and_threshold(orders):
+    at = lambda d: F.lit(d).cast("timestamp")
+    x = scales.time_scale("o_orderdate", at("1993-01-01"), at("1997-01-01"), (0, 50))
+    return orders.select("o_orderkey", r6(x).alias("x"), scales.threshold("o_totalprice", [100000, 250000], ["low", "mid", "high"]).alias("band"))

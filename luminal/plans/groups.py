@@ -182,3 +182,12 @@ def monthly_extent(orders):
 def fixations(events):
     g = events.groupBy("user_id", "ts").agg(F.min("value").alias("value")).select("user_id", F.unix_millis("ts").alias("ts_ms"), (F.col("value") % 4).alias("yaw"), (F.col("value") % 3).alias("pitch"))
     return temporal.fixations(g, ["user_id"], window_ms=3_600_000).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("customer", sql="""
+    WITH p AS (SELECT c_custkey % 40 * 0.5 AS x, (c_acctbal + 1000) / 550 AS z FROM customer), g AS (SELECT a.i AS gx, b.i AS gz FROM range(20) a(i), range(20) b(i)),
+    d AS (SELECT gx, gz, sqrt((x - gx) * (x - gx) + (z - gz) * (z - gz)) AS d FROM p, g)
+    SELECT gx::INT AS gx, gz::INT AS gz, round(ln(sum(exp(d * -2)) + 1), 6) + 0.0 AS height FROM d WHERE d <= 3 GROUP BY ALL""")
+def terrain(customer):
+    p = customer.select((F.col("c_custkey") % 40 * 0.5).alias("x"), ((F.col("c_acctbal") + 1000) / 550).alias("z"))
+    return aggregates.terrain(p, 20, 1.0, 3.0).select("gx", "gz", r6("height").alias("height"))

@@ -173,3 +173,20 @@ def test_kepler(spark):
     row = spark.range(1).select(p["x"].alias("x"), p["y"].alias("y")).first()
     assert row.x == pytest.approx(0.983) and row.y == pytest.approx(0)
     assert spark.range(1).select(scales.quantize(F.lit(99.0), (0, 10), ["a", "b"])).first()[0] == "b"
+
+
+def test_validate_command(tmp_path, capsys):
+    from luminal.__main__ import main
+
+    good, bad = tmp_path / "good.json", tmp_path / "bad.json"
+    good.write_text('{"nodes": [{"id": 1}]}')
+    bad.write_text('[{"value": 1}, 3]')
+    assert main(["validate", str(good)]) == 0 and main(["validate", str(bad)]) == 1 and main(["validate", str(tmp_path / "none")]) == 1 and main([]) == 2
+    assert "record 1 is no object" in capsys.readouterr().out
+
+
+def test_labels(spark):
+    from luminal.functions import signals
+
+    row = spark.range(1).select(signals.signed_percent(F.lit(2.345)), signals.signed_percent(F.lit(-0.5)), signals.fixed(F.lit(1234.5), 1), signals.similarity_band(F.lit(0.5))).first()
+    assert tuple(row) == ("+2.35%", "-0.50%", "1234.5", "#ffff00")
