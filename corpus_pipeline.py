@@ -16,7 +16,7 @@ from luminal.llm.quality import fit, score
 from luminal.llm.simhash import Verify, near_duplicates
 
 #: Two-word shingles find candidates, since an edited word spoils only two of them; five-word shingles decide.
-NEAR = {"width": 2, "lanes": 1, "most": 8, "verify": Verify(width=5, lanes=8, similarity=0.8)}
+NEAR = {"width": 2, "lanes": 1, "most": 8, "verify": Verify(width=5, lanes=8, similarity=0.8), "repeats": False}
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -46,8 +46,9 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return bits[:full].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[full:].sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str | None, width: int, lanes: int) -> bytes:
-    """lanes 64-bit SimHashes, big-endian, of the shingles of width words (all words if fewer; zero if none)."""
+def fingerprint(text: str | None, width: int, lanes: int, repeats: bool = True) -> bytes:
+    """lanes 64-bit SimHashes, big-endian, of the shingles of width words (all words if fewer; zero if none). Without
+    repeats each different shingle counts once, as in a resemblance of sets."""
     found = (text or "").encode().lower().split()  # on bytes: A-Z only, and ASCII white space only
     if not found:
         return bytes(8 * lanes)
@@ -55,10 +56,14 @@ def fingerprint(text: str | None, width: int, lanes: int) -> bytes:
     ends = np.cumsum(np.fromiter((len(w) + 1 for w in found), np.int64, len(found)))
     n = max(1, len(found) - width + 1)
     starts, stops = [0, *ends[: n - 1].tolist()], (ends[-n:] - 1).tolist()
-    counts = np.zeros(64 * lanes, np.int64)
+    counts, hashes = np.zeros(64 * lanes, np.int64), []
     for k in range(0, n, 1 << 16):
         raw = b"".join([xxhash.xxh64_digest(joined[a:b], SEED) for a, b in zip(starts[k : k + (1 << 16)], stops[k : k + (1 << 16)], strict=True)])
-        h = np.frombuffer(raw, ">u8").astype(np.uint64)
+        hashes.append(np.frombuffer(raw, ">u8").astype(np.uint64))
+    if not repeats:
+        hashes = [np.unique(np.concatenate(hashes))]
+        n = len(hashes[0])
+    for h in hashes:
         counts += _bit_counts(np.stack([_mixed(h, lane) for lane in range(lanes)], axis=1))
     return np.packbits(2 * counts > n).tobytes()
 
@@ -71,7 +76,7 @@ class Verify:
     width: int = 5
     lanes: int = 8
     similarity: float = 0.8
-    slack: float = 0.03
+    slack: float = 0.05
 
     @property
     def size(self) -> int:
@@ -333,10 +338,10 @@ def hamming_links(fps: DataFrame, most: int, size: int, parts_wanted: int | None
     return dealt.mapInArrow(verify, "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, lanes: int = 1, most: int = 4, verify: Verify | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, lanes: int = 1, most: int = 4, verify: Verify | None = None, repeats: bool = True) -> DataFrame:
     """One row per row of df: id_col, fingerprint (hexadecimal), component_id (the smallest id reachable over
     fingerprints that differ in most bits or fewer; its own included). With verify the fingerprint goes on with
-    the longer one that links must also satisfy.
+    the longer one that links must also satisfy. repeats: whether a shingle counts as often as it occurs.
 
     Equal fingerprints always link. A null text counts as empty; texts without words have fingerprint zero and
     link like any other. Null ids take part but are never the smallest, unless a whole component has none;
@@ -349,7 +354,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t, width, lanes) + (fingerprint(t, verify.width, verify.lanes) if verify else b"") for t in (x.as_py() for x in batch["t"])]
+            fps = [fingerprint(t, width, lanes, repeats) + (fingerprint(t, verify.width, verify.lanes, repeats) if verify else b"") for t in (x.as_py() for x in batch["t"])]
             yield pa.RecordBatch.from_arrays([batch["id"].cast(ids), pa.array(fps, pa.binary())], names=["id", "fp"])
 
     docs = cut(base.mapInArrow(run, schema), "simhash")
