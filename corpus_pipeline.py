@@ -13,10 +13,7 @@ from luminal.llm.common import shared_dir, table
 from luminal.llm.exact import exact_duplicates
 from luminal.llm.mixing import mix
 from luminal.llm.quality import fit, score
-from luminal.llm.simhash import Verify, near_duplicates
-
-#: Two-word shingles find candidates, since an edited word spoils only two of them; five-word shingles decide.
-NEAR = {"width": 2, "lanes": 1, "most": 8, "verify": Verify(width=5, lanes=8, similarity=0.8), "repeats": False}
+from luminal.llm.resemblance import near_duplicates
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -43,7 +40,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that five-word shingles of similarity 0.8 or more link, directly or through others, the one with
     the smallest doc_id. Documents without words link to one another."""
-    return _without(docs, near_duplicates(docs, **NEAR).filter("doc_id <> component_id").select(F.col("doc_id").alias("id")))
+    return _without(docs, near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("id")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +60,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("near dedup", near_stage), ("mixing", mixing_stage), ("tokens", tokens_stage)]
 
-#: SQL cannot express the fitted classifier, the SimHash stage or the tokenizer; tests hold run() against brute force.
+#: SQL cannot express the fitted classifier, the near stage or the tokenizer; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
