@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -40,6 +41,22 @@ def kept(spark, texts):
     return {r.doc_id for r in corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(5), "").collect()}
 
 
+def wanted(texts):
+    """The least of each component of links of 0.8 or more."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
 def test_no_copy_is_lost_by_kind_of_edit(spark):
     rng, texts = random.Random(3), []
     for kind in ("cut", "appended", "block", "scattered"):
@@ -49,3 +66,17 @@ def test_no_copy_is_lost_by_kind_of_edit(spark):
     near = [i for i in range(1, len(texts), 2) if resemblance(texts[i - 1], texts[i]) >= 0.8]
     assert len(near) > 100
     assert not kept(spark, texts) & set(near)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5])
+def test_components_as_by_brute_force(spark, share):
+    """Chains of edits, where ends are unlike though each step is not, with a passage that many texts have."""
+    rng, texts = random.Random(7), []
+    passage = prose(rng, 30)
+    for _ in range(30):
+        words = prose(rng, rng.randrange(5, 120)) + (passage if rng.random() < share else [])
+        for _ in range(rng.randrange(1, 7)):
+            texts.append(" ".join(words))
+            words = edited(rng, words, rng.choice(["cut", "appended", "block", "scattered"]), rng.uniform(0.02, 0.2)) if len(words) > 8 else [*words, "x"]
+    rng.shuffle(texts)
+    assert kept(spark, texts) == wanted(texts)
