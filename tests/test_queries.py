@@ -32,3 +32,8 @@ def test_seeded_layouts_agree(spark, name):
     a, b = (rows_of(plans.QUERIES[name](spark, FOLDER)) for _ in range(2))
     assert a[0] == ["id", "x", "y", "z"] and len(a[1]) == len(b[1])
     assert all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-3 for x, y in zip(a[1], b[1], strict=True))
+
+
+def test_force_positions_places_every_customer(spark):
+    rows = plans.QUERIES["force_positions"](spark, FOLDER).collect()
+    assert sorted(r.id for r in rows) == sorted(r.c_custkey for r in spark.read.parquet(f"{FOLDER}/customer.parquet").select("c_custkey").collect())
