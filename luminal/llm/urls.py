@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from luminal.llm.common import cut
 
-DEPTH = 4  # segments that the tree tells apart; what follows is one last wildcard
 FANOUT = 20  # a node with so many branches has a variable segment; its rare branches become one wildcard
 CHI2, Z = 5.99, 1.96  # what counts as a difference, at 5 %
 ALPHA = 4.0  # labelled urls that the prior is worth; an unlabelled url adds half a one
@@ -54,18 +53,21 @@ def _first(rules: list[UrlRule], value) -> Column:
 
 def templates(urls: DataFrame) -> DataFrame:
     """urls (_host, _path, _label: 1 blocked, 0 allowed, null unknown) to (_host, _shape, template, purity): a row
-    for each shape of path, digits runs being one. All counts are of all urls, summed before they are shuffled."""
+    for each shape of path, digits runs being one. The tree is as deep as the
+    deepest path, a level a round. All counts are of all urls, summed before they are shuffled."""
     shapes = urls.groupBy("_host", F.regexp_replace("_path", "[0-9]+", "#").alias("_shape")).agg(
         F.count("*").alias("n"), F.count("_label").alias("seen"), F.coalesce(F.sum("_label"), F.lit(0)).alias("bad")
     )
     parts = F.slice(F.split("_shape", "/"), 2, 1 << 20)
-    kept = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(parts)
-    now = cut(shapes.withColumn("segs", kept).withColumn("node", F.lit("")), "url-shapes")
+    now = cut(shapes.withColumn("segs", parts).withColumn("node", F.lit("")), "url-shapes")
     sums = [F.sum(c).alias(c) for c in ("n", "seen", "bad")]
-    total = now.agg(*sums).first()
+    total = now.agg(*sums, F.max(F.size("segs")).alias("depth")).first()
     prior = (total["bad"] or 0) / total["seen"] if total["seen"] else 0.0
     end = F.lit("\0")
-    for level in range(DEPTH):
+    done = []  # shapes that ended a level ago or more: no other shape's node is theirs
+    for level in range(total["depth"] or 0):
+        done.append(now.filter(F.size("segs") < level))
+        now = now.filter(F.size("segs") >= level)
         seg, below = F.coalesce(F.get("segs", F.lit(level)), end), F.get("segs", F.lit(level + 1))
         now = now.withColumn("seg", seg)
         branches = now.groupBy("_host", "node", "seg").agg(
@@ -90,6 +92,8 @@ def templates(urls: DataFrame) -> DataFrame:
         chosen = both.select("_host", "node", "seg", token.alias("token"))
         now = now.join(chosen, ["_host", "node", "seg"]).withColumn("node", F.concat("node", "token")).drop("seg", "token")
         now = cut(now.select("_host", "_shape", "segs", "node", "n", "seen", "bad"), f"url-level{level}")
+    for ended in done:
+        now = now.unionByName(ended.select(*now.columns))
     weight = ALPHA + (F.col("n") - F.col("seen")) / 2
     purity = (F.col("bad") + F.lit(prior) * weight) / (F.col("seen") + weight)
     judged = now.groupBy("_host", "node").agg(*sums).select("_host", "node", purity.alias("purity"))

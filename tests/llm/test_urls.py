@@ -39,3 +39,13 @@ def test_templates(spark):
     got = {r.page_id: r for r in judge(df, rules).collect()}
     assert (got[100].rule, got[100].template, got[100].verdict) == (None, "a.com/spam/*", "block")
     assert got[101].verdict == got[102].verdict == got[103].verdict == "allow"
+
+
+def test_deep_paths_are_told_apart(spark):
+    for deep in ("/a/b/c/d", "/a/b/c/d/e/f/g/h"):  # 6 and 10 segments with what follows
+        rules = [UrlRule("block", "a.com", f"{deep}/spam/{i}") for i in range(10, 60)] + [UrlRule("allow", "a.com", f"{deep}/news/{i}") for i in range(10, 60)]
+        urls = [f"http://a.com{deep}/{kind}/{i}" for kind in ("spam", "news") for i in [*range(10, 60), 7]] + ["http://a.com/a", "http://a.com/"]
+        got = {r.path: r for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), rules).collect()}
+        assert len(got) == len(urls)
+        assert got[f"{deep}/spam/7"].template.endswith("/spam/*") and got[f"{deep}/spam/7"].verdict == "block"
+        assert got[f"{deep}/news/7"].template.endswith("/news/*") and got[f"{deep}/news/7"].verdict == "allow"
