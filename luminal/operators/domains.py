@@ -79,9 +79,9 @@ def containing_polygon(facts: DataFrame, x: float, z: float, reach: float = 2.0)
     return facts.filter(d < reach).agg(F.min("poly_id").alias("poly_id"))
 
 
-def polygon_path(edges: DataFrame, start, goal, max_hops: int = 100) -> list:
+def polygon_path(edges: DataFrame, start, goal, max_hops: int | None = None) -> list:
     """Polygons from start to goal over the fewest shared edges (of equally short ways the one by least ids);
-    empty if there is none. Only the way itself comes to the driver."""
+    empty if there is none (with max_hops, none of so many). Only the way itself comes to the driver."""
     from luminal.operators.graph import distances_from
 
     e = edges.select(F.col("a").alias("source"), F.col("b").alias("target"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,17 +51,20 @@ def neighbours(edges: DataFrame, ids: list) -> DataFrame:
     return both.filter(F.col("a").isin(ids)).select(F.col("b").alias("id")).distinct()
 
 
-def distances_from(edges: DataFrame, start, max_hops: int = 50) -> DataFrame:
-    """id, hops from start along edges in either direction: a breadth-first search, one join for each hop. Only the
-    frontier moves; what has been seen is kept in the shared folder."""
+def distances_from(edges: DataFrame, start, max_hops: int | None = None) -> DataFrame:
+    """id, hops from start along edges in either direction: a breadth-first search, one join for each hop, until no
+    node is left that can be reached; with max_hops only those within so many. Only the frontier moves; what has been
+    seen is kept in the shared folder."""
     both = cut(edges.select("source", "target").union(edges.select("target", "source")).toDF("a", "b").distinct(), "bfs-edges")
     seen = both.sparkSession.createDataFrame([(start, 0)], f"id {both.schema['a'].dataType.simpleString()}, hops int")
     front = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         front = cut(both.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)), "bfs")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hop % 16 == 0:  # a plan of few scans, however deep the search
+            seen = cut(seen, "bfs-seen")
     return seen
 
 

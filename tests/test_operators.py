@@ -201,3 +201,10 @@ def test_streams(spark, tmp_path):
     b = spark.sql("select 1 k, timestamp'2024-01-01 00:05:00' u union all select 1, timestamp'2024-01-01 02:00:00'")
     assert stateful.joined(a, b, "k", "t", "u", "10 MINUTES").count() == 1 and stateful.deduplicated(a.union(a), ["k"], "t").count() == 1
     assert stateful.rate_market(spark).isStreaming and stateful.rate_sensors(spark).isStreaming
+
+
+def test_search_goes_on_until_nothing_is_left(spark):
+    from luminal.operators import graph
+
+    way = spark.range(54).selectExpr("id source", "id + 1 target").coalesce(1)
+    assert sorted((r.id, r.hops) for r in graph.distances_from(way, 0).collect()) == [(i, i) for i in range(55)]
