@@ -170,6 +170,13 @@ def hops(customer):
     return graph.distances_from(e, 1, 6).filter("id > 0")
 
 
+@query("customer", sql="SELECT c_custkey AS id, CASE WHEN c_custkey = 0 THEN 1 ELSE length(bin(c_custkey)) - 1 END AS hops FROM customer")
+def hops_all(customer):
+    """hops without a limit: a customer's key loses one binary digit each hop."""
+    e = customer.select(F.col("c_custkey").alias("source"), F.floor(F.col("c_custkey") / 2).alias("target"))
+    return graph.distances_from(e, 1)
+
+
 @query("customer", "supplier", sql="SELECT n, count(*) AS customers FROM (SELECT c_custkey, (SELECT count(*) FROM supplier WHERE s_nationkey = c_nationkey) AS n FROM customer) GROUP BY n")
 def linked_counts(customer, supplier):
     e = customer.join(supplier, F.col("c_nationkey") == F.col("s_nationkey")).select(F.concat(F.lit("c"), "c_custkey").alias("source"), F.concat(F.lit("s"), "s_suppkey").alias("target"))
