@@ -8,10 +8,9 @@ list of all pairs is ever made."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
-from math import acos, comb, pi
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +45,18 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return bits[:full].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[full:].sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str | None, width: int, lanes: int, repeats: bool = True) -> bytes:
-    """lanes 64-bit SimHashes, big-endian, of the shingles of width words (all words if fewer; zero if none). Without
-    repeats each different shingle counts once, as in a resemblance of sets."""
+def simhash_of(*hashes: np.ndarray, lanes: int = 1) -> bytes:
+    """lanes 64-bit SimHashes, big-endian, of shingle hashes that are given in parts; zero if there are none."""
+    n, counts = sum(map(len, hashes)), np.zeros(64 * lanes, np.int64)
+    for part in hashes:
+        for k in range(0, len(part), 1 << 16):
+            h = part[k : k + (1 << 16)]
+            counts += _bit_counts(np.stack([_mixed(h, lane) for lane in range(lanes)], axis=1))
+    return np.packbits(2 * counts > n).tobytes()
+
+
+def fingerprint(text: str | None, width: int, lanes: int) -> bytes:
+    """lanes 64-bit SimHashes, big-endian, of the shingles of width words (all words if fewer; zero if none)."""
     found = (text or "").encode().lower().split()  # on bytes: A-Z only, and ASCII white space only
     if not found:
         return bytes(8 * lanes)
@@ -56,37 +64,11 @@ def fingerprint(text: str | None, width: int, lanes: int, repeats: bool = True)
     ends = np.cumsum(np.fromiter((len(w) + 1 for w in found), np.int64, len(found)))
     n = max(1, len(found) - width + 1)
     starts, stops = [0, *ends[: n - 1].tolist()], (ends[-n:] - 1).tolist()
-    counts, hashes = np.zeros(64 * lanes, np.int64), []
+    hashes = []
     for k in range(0, n, 1 << 16):
         raw = b"".join([xxhash.xxh64_digest(joined[a:b], SEED) for a, b in zip(starts[k : k + (1 << 16)], stops[k : k + (1 << 16)], strict=True)])
         hashes.append(np.frombuffer(raw, ">u8").astype(np.uint64))
-    if not repeats:
-        hashes = [np.unique(np.concatenate(hashes))]
-        n = len(hashes[0])
-    for h in hashes:
-        counts += _bit_counts(np.stack([_mixed(h, lane) for lane in range(lanes)], axis=1))
-    return np.packbits(2 * counts > n).tobytes()
-
-
-@dataclass(frozen=True)
-class Verify:
-    """Longer fingerprints of shingles of width words, 64 bits a lane, that candidates are held against: texts whose
-    resemblance (shared shingles over all their shingles) is estimated below similarity less slack do not link."""
-
-    width: int = 5
-    lanes: int = 8
-    similarity: float = 0.8
-    slack: float = 0.05
-
-    @property
-    def size(self) -> int:
-        return 8 * self.lanes
-
-    @property
-    def most(self) -> int:
-        """Bits that differ between texts of just that resemblance: the angle between their shingle vectors."""
-        r = self.similarity - self.slack
-        return round(8 * self.size * acos(min(1.0, 2 * r / (1 + r))) / pi)
+    return simhash_of(*hashes, lanes=lanes)
 
 
 def _rows(column: pa.Array, size: int) -> np.ndarray:
@@ -187,9 +169,8 @@ def stars(pairs_a: np.ndarray, pairs_b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def links_in(indexed: np.ndarray, probing: np.ndarray, most: int, head: int, most_rest: int):
-    """Star edges (two byte matrices) that join what the links between indexed and probing join: most bits in the
-    first head bytes, and most_rest in the others."""
+def links_in(indexed: np.ndarray, probing: np.ndarray, most: int):
+    """Star edges (two byte matrices) that join what the links of most bits between indexed and probing join."""
     size = indexed.shape[1]
     nodes, at = np.unique(np.concatenate([indexed, probing]), axis=0, return_inverse=True)
     if len(nodes) < 2:
@@ -200,11 +181,8 @@ def links_in(indexed: np.ndarray, probing: np.ndarray, most: int, head: int, mos
     step = max(1, (1 << 20) // max(1, len(b)))
     label = np.arange(len(nodes))
     for k in range(0, len(a), step):
-        far = sum(np.bitwise_count(a[k : k + step, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(head // 8))
+        far = sum(np.bitwise_count(a[k : k + step, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(size // 8))
         i, j = np.nonzero(far <= most)
-        if head < size:
-            own = np.bitwise_count(a[k + i, head // 8 :] ^ b[j, head // 8 :]).sum(axis=1, dtype=np.int64) <= most_rest
-            i, j = i[own], j[own]
         found_a.append(at[k + i])
         found_b.append(at[len(a) + j])
         if sum(map(len, found_a)) > 1 << 22:  # fold what there is, so that a dense bucket stays small
@@ -215,7 +193,7 @@ def links_in(indexed: np.ndarray, probing: np.ndarray, most: int, head: int, mos
     return nodes[moved], nodes[label[moved]]
 
 
-def _entries(fps: DataFrame, parts: list[list[int]], counts, most: int, size: int, head: int) -> DataFrame:
+def _entries(fps: DataFrame, parts: list[list[int]], counts, most: int, size: int) -> DataFrame:
     """(key, probe, fp): each fingerprint once per partition as indexed, and once per probe."""
     shift = max(map(len, parts))
     schema = pa.schema([("key", pa.int32()), ("probe", pa.bool_()), ("fp", pa.binary())])
@@ -225,7 +203,7 @@ def _entries(fps: DataFrame, parts: list[list[int]], counts, most: int, size: in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = _values(_rows(batch["fp"], size)[:, :head], parts)
+            values = _values(_rows(batch["fp"], size), parts)
             keys, rows = [], []
             for i, v in enumerate(values):
                 keys.append(v | i << shift)
@@ -257,20 +235,18 @@ def _entries(fps: DataFrame, parts: list[list[int]], counts, most: int, size: in
     return fps.mapInArrow(run, "key int, probe boolean, fp binary")
 
 
-def hamming_links(fps: DataFrame, most: int, size: int, parts_wanted: int | None = None, head: int | None = None, most_rest: int = 0) -> DataFrame:
+def hamming_links(fps: DataFrame, most: int, size: int, parts_wanted: int | None = None) -> DataFrame:
     """fps (fp: distinct, size bytes) to star edges (a, b) that connect whatever fingerprints within most bits
-    connect; with head only the first so many bytes are probed, and the others must agree within most_rest. Exact at every size: a bucket with many indexed values is compared in square blocks of HEAVY, each a
+    connect. Exact at every size: a bucket with many indexed values is compared in square blocks of HEAVY, each a
     task of its own."""
     spark = fps.sparkSession
-    n = fps.count()
-    head = head or size
-    bits = 8 * head
+    n, bits = fps.count(), 8 * size
     parts = parts_wanted or choose_partitions(n, bits, most)
 
     def count_pairs(batches):
         total = np.zeros((bits, bits), np.int64)
         for batch in batches:
-            x = np.unpackbits(_rows(batch["fp"], size)[:, :head], axis=1).astype(np.float32)
+            x = np.unpackbits(_rows(batch["fp"], size), axis=1).astype(np.float32)
             total += (x.T @ x).astype(np.int64)
         i = np.arange(bits * bits)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(total.ravel())], names=["i", "n"])
@@ -281,7 +257,7 @@ def hamming_links(fps: DataFrame, most: int, size: int, parts_wanted: int | None
     groups = group_bits(together.reshape(bits, bits), n, parts)
     shift = max(map(len, groups))
     # how often each value (its first bits, if it has more) is indexed: at most 2^16 counts a partition
-    indexed = _entries(fps, groups, None, most, size, head)
+    indexed = _entries(fps, groups, None, most, size)
     extra = [max(0, len(p) - ESTIMATE_BITS) for p in groups]
     part = F.shiftright("key", shift)
     shorter = F.element_at(F.array(*[F.lit(1 << x) for x in extra]), part + 1)
@@ -290,7 +266,7 @@ def hamming_links(fps: DataFrame, most: int, size: int, parts_wanted: int | None
     counts = [np.zeros(1 << min(len(p), ESTIMATE_BITS)) for p in groups]
     for row in seen:
         counts[row.part][row.v] = row["count"]
-    entries = _entries(fps, groups, spark.sparkContext.broadcast(counts), most, size, head)
+    entries = _entries(fps, groups, spark.sparkContext.broadcast(counts), most, size)
     heavy = cut(indexed.groupBy("key").count().filter(F.col("count") > HEAVY).select("key", F.ceil(F.col("count") / HEAVY).cast("int").alias("blocks")), "heavy")
     if heavy.isEmpty():
         dealt = entries.withColumns({"i": F.lit(0), "j": F.lit(0)})
@@ -329,7 +305,7 @@ def hamming_links(fps: DataFrame, most: int, size: int, parts_wanted: int | None
         for s, e in zip(starts[:done].tolist(), starts[1 : done + 1].tolist(), strict=True):
             m = s + int(first_probe[e] - first_probe[s])
             if s < m < e:
-                a, b = links_in(fp[s:m], fp[m:e], most, head, most_rest)
+                a, b = links_in(fp[s:m], fp[m:e], most)
                 out_a.append(a)
                 out_b.append(b)
         if out_a and sum(map(len, out_a)):
@@ -338,28 +314,26 @@ def hamming_links(fps: DataFrame, most: int, size: int, parts_wanted: int | None
     return dealt.mapInArrow(verify, "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, lanes: int = 1, most: int = 4, verify: Verify | None = None, repeats: bool = True) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, lanes: int = 1, most: int = 4) -> DataFrame:
     """One row per row of df: id_col, fingerprint (hexadecimal), component_id (the smallest id reachable over
-    fingerprints that differ in most bits or fewer; its own included). With verify the fingerprint goes on with
-    the longer one that links must also satisfy. repeats: whether a shingle counts as often as it occurs.
+    fingerprints that differ in most bits or fewer; its own included).
 
     Equal fingerprints always link. A null text counts as empty; texts without words have fingerprint zero and
     link like any other. Null ids take part but are never the smallest, unless a whole component has none;
     repeated rows are kept; an empty table gives an empty result."""
-    head = 8 * lanes
-    size = head + (verify.size if verify else 0)
+    size = 8 * lanes
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     ids = base.select("id").limit(0).toArrow().schema.field("id").type
     schema = f"id {base.schema['id'].dataType.simpleString()}, fp binary"
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t, width, lanes, repeats) + (fingerprint(t, verify.width, verify.lanes, repeats) if verify else b"") for t in (x.as_py() for x in batch["t"])]
+            fps = [fingerprint(t.as_py(), width, lanes) for t in batch["t"]]
             yield pa.RecordBatch.from_arrays([batch["id"].cast(ids), pa.array(fps, pa.binary())], names=["id", "fp"])
 
     docs = cut(base.mapInArrow(run, schema), "simhash")
     fps = cut(docs.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = components(hamming_links(fps.select("fp"), most, size, head=head, most_rest=verify.most if verify else 0))
+    roots = components(hamming_links(fps.select("fp"), most, size))
     found = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     found = cut(found, "simhash-roots")
     least = found.groupBy("root").agg(F.min("least").alias("component_id"))
