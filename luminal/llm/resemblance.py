@@ -8,8 +8,8 @@ runs. Shingles that stand in one text alone come first and need no partner, so o
 shingles have anything left to look up.
 
 Texts that share such a shingle are held against the one of them with the fewest shingles of its own, and against a few
-drawn by hash, round by round until nothing new is linked: members of a large group of copies come together without
-meeting each other. What is still apart then is compared pair by pair, so that no link is lost."""
+drawn by hash, in a few rounds: members of a large group of copies come together without meeting each other. What is
+still apart then is compared pair by pair, so that no link is lost."""
 
 from __future__ import annotations
 
@@ -35,6 +35,7 @@ BLOCK_SHINGLES = 1 << 20  # a block's mean
 MESSAGE_HASHES = 500  # mean hashes in one message from a block to an owner
 SPARE_BITS = 12  # of a hash beyond those that number all shingles; fewer only blur the order
 CELL = 4  # texts of a shingle that meet by chance in a round
+ROUNDS = 2  # before what is still apart is compared pair by pair: they decide the cost, never the links
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -168,12 +169,15 @@ def _by_simhash(nodes: DataFrame, most: int) -> DataFrame:
     return equal.union(near)
 
 
-def _apart(entries: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     """entries (key, one) with their root, of the keys whose texts are not all joined yet."""
-    roots = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    placed = entries.join(roots, F.col("one.node") == F.col("_node"), "left").select("key", "one", F.coalesce("_root", "one.node").alias("root"))
+    if roots is None:
+        placed = entries.withColumn("root", F.col("one.node"))
+    else:
+        roots = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        placed = entries.join(roots, F.col("one.node") == F.col("_node"), "left").select("key", "one", F.coalesce("_root", "one.node").alias("root"))
     open_ = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k")).filter("low <> high")
-    return placed.join(open_.select("key", "k"), "key")
+    return cut(placed.join(open_.select("key", "k"), "key"), "near-apart")
 
 
 def _met(placed: DataFrame, round_: int) -> DataFrame:
@@ -203,20 +207,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = cut(shared_prefixes(base.select("t").distinct(), shingles, width).dropDuplicates(["node"]), "near-texts")
     place = F.struct((F.col("m") / F.col("n")).alias("share"), "node", "n", "m", (F.col("n") - F.col("m") + F.col("p")).alias("i"))
     entries = cut(texts.select("node", "n", "m", F.posexplode("keys").alias("p", "key")).select("key", place.alias("one")), "near-keys")
-    tried = cut(_by_simhash(nodes, most).distinct(), "near-pairs")
-    links = cut(_linked(tried, texts, width), "near-links")
-    round_ = 0
-    while True:
+    links, roots, tried = None, None, None
+    for round_ in range(ROUNDS):
+        pairs = _met(_apart(entries, roots), round_)
+        pairs = cut(pairs.union(_by_simhash(nodes, most)).distinct() if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = _linked(pairs, texts, width)
+        links = found if links is None else links.union(found)
         roots = components(links)
-        placed = cut(_apart(entries, roots), "near-apart")
-        round_ += 1
-        pairs = cut(_met(placed, round_).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        found = cut(_linked(pairs, texts, width), "near-links")
-        tried = tried.union(pairs)
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
-        if found.isEmpty():
-            break
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     # texts that share a shingle and are still apart
+    placed = _apart(entries, roots)
     other = placed.select("key", F.col("one").alias("two"), F.col("root").alias("root2"))
     rest = _pairs(placed.join(other, "key").filter("root < root2"), "one", "two").distinct().join(tried, ["a", "b"], "left_anti")
     roots = components(links.union(_linked(cut(rest, "near-rest"), texts, width))).toDF("_node", "root")
