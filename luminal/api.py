@@ -10,10 +10,10 @@ from luminal.operators import graph, layouts, mapping
 from luminal.operators.common import ordinal, with_totals
 from luminal.sources.records import Registry, load, validate_spec
 
-SHORT = {"bar": "grid", "line": "timeline", "network": "radial", "scatter": "scatter", "pie": "radial", "tree": "grid", "grid": "grid", "radial": "radial", "timeline": "timeline", "spiral": "spiral"}
+SHORT = {"bar": "grid", "line": "timeline", "network": "force", "scatter": "scatter", "pie": "radial", "tree": "tree", "grid": "grid", "radial": "radial", "timeline": "timeline", "spiral": "spiral"}
 PRESETS = {
     "bar_chart": {"type": "bar", "layout": "bar-row"},
-    "network": {"type": "network", "layout": "radial"},
+    "network": {"type": "network", "layout": "force"},
     "timeline": {"type": "line", "layout": "timeline"},
     "scatter": {"type": "scatter", "layout": "scatter"},
 }

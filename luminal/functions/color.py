@@ -64,7 +64,7 @@ def to_hex(r: Column, g: Column, b: Column) -> Column:
 
 
 def rgb(r: Column, g: Column, b: Column, gap: str = ", ") -> Column:
-    return F.concat(F.lit("rgb("), F.concat_ws(gap.replace("%", ""), *[c.cast("long").cast("string") for c in (r, g, b)]), F.lit(")"))
+    return F.concat(F.lit("rgb("), F.concat_ws(gap, *[c.cast("long").cast("string") for c in (r, g, b)]), F.lit(")"))
 
 
 def lerp(a: Column, b: Column, t: Column) -> Column:

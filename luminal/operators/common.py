@@ -14,16 +14,24 @@ AXES = ("x", "y", "z")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names, or the one set on the context. Only a local session, as in tests,
+    gets a folder of its own: on a cluster each executor would write to its own disk."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="luminal-")
+        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if chosen.isDefined():
+            where = chosen.get()
+        elif spark.sparkContext.master.startswith("local"):
+            where = "file://" + tempfile.mkdtemp(prefix="luminal-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that lineage ends there."""
+    """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+    Unlike checkpoint() it keeps statistics and column pruning."""
     path = f"{shared_dir(df.sparkSession)}/luminal/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -212,7 +212,11 @@ def probability_cloud(df: DataFrame, uncertainty: str, samples: int = 5, seed: i
 
 
 def heat_zones(zones: DataFrame, spots: DataFrame) -> DataFrame:
-    """Zones (id, x, z) with the most heat of the few spots (x, z, load): max(0, 100 - 10 d) times the load."""
-    s = F.broadcast(spots.select(F.col("x").alias("sx"), F.col("z").alias("sz"), "load"))
-    d = F.sqrt((F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("z") - F.col("sz")) * (F.col("z") - F.col("sz")))
-    return zones.join(s, F.lit(True)).groupBy("id").agg(F.max(F.greatest(F.lit(0.0), 100 - d * 10) * F.col("load")).alias("heat"))
+    """Zones (id, x, z) with the most heat of the spots (x, z, load of 0 or more): max(0, 100 - 10 d) times the load.
+    Beyond a distance of 10 a spot gives none, so zones and spots meet through cells."""
+    from luminal.operators.spatial import within
+
+    z = zones.select("id", "x", F.lit(0.0).alias("y"), "z")
+    s = spots.select(F.col("load").alias("id2"), F.col("x").alias("x2"), F.lit(0.0).alias("y2"), F.col("z").alias("z2"))
+    heat = within(z, s, 10.0).groupBy("id").agg(F.max((100 - F.col("distance") * 10) * F.col("id2")).alias("heat"))
+    return zones.select("id").join(heat, "id", "left").fillna(0.0, ["heat"])

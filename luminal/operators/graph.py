@@ -38,10 +38,11 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return out if nodes is None else nodes.select("id").join(out, "id", "left").fillna(0, ["degree"])
 
 
-def degree_style(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, degree, size and emissive by the node's degree and how many nodes there are."""
-    n = nodes.agg(F.count("*").alias("_n"))
-    d = degrees(edges, nodes).join(F.broadcast(n), F.lit(True))
+def degree_style(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """id, degree, size and emissive by the node's degree and how many nodes there are; without nodes those of edges."""
+    d = degrees(edges, nodes)
+    n = (d if nodes is None else nodes).agg(F.count("*").alias("_n"))
+    d = d.join(F.broadcast(n), F.lit(True))
     return d.select("id", "degree", (0.5 + F.col("degree") / F.col("_n") * 1.5).alias("size"), (0.3 + F.col("degree") / 10).alias("emissive"))
 
 

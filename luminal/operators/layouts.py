@@ -38,6 +38,45 @@ def calculate_positions(df: DataFrame, topology: str, order: list, **options) ->
     return REGISTRY[names.get(topology, "sphere")](df, order, **options)
 
 
+def _beside(df: DataFrame, placed: DataFrame, id_col: str) -> DataFrame:
+    """df with the positions that placed has for its ids; others have none."""
+    at = placed.select(F.col(id_col).alias("_id"), "x", "y", "z")
+    return df.drop("x", "y", "z").join(at, F.col(id_col) == F.col("_id"), "left").drop("_id")
+
+
+@layout("force")
+def force(df, order, edges: DataFrame | None = None, id_col: str = "id", **options):
+    """edges (source, target, weight), or the records' own column links (to, weight, type); without either nodes only
+    push one another apart."""
+    from luminal.operators.force import force_layout
+    from luminal.operators.graph import edges_of
+
+    if edges is None:
+        loops = df.select(F.col(id_col).alias("source"), F.col(id_col).alias("target"), F.lit(1.0).alias("weight"))
+        edges = edges_of(df, id_col) if "links" in df.columns else loops.limit(0)
+    return force_layout(df.drop("x", "y", "z"), edges, order, id_col=id_col, **options)
+
+
+def _rooted(df: DataFrame, parent_col: str) -> DataFrame:
+    return df if parent_col in df.columns else df.withColumn(parent_col, F.lit(None).cast("string"))
+
+
+@layout("tree")
+def tree(df, order=(), id_col: str = "id", parent_col: str = "parent", **options):
+    """Rows that are not under the first root have no position."""
+    from luminal.operators.trees import tree_layout
+
+    return _beside(df, tree_layout(_rooted(df, parent_col), id_col, parent_col, **options), id_col)
+
+
+@layout("polar-tree")
+def polar(df, order=(), id_col: str = "id", parent_col: str = "parent", **options):
+    """Rows that are not under the first root have no position."""
+    from luminal.operators.trees import polar_tree
+
+    return _beside(df, polar_tree(_rooted(df, parent_col), id_col, parent_col, **options), id_col)
+
+
 def _place(df: DataFrame, x: Column, y: Column, z: Column, drop: tuple = ()) -> DataFrame:
     return df.withColumns({"x": x.cast("double"), "y": y.cast("double"), "z": z.cast("double")}).drop(*drop)
 

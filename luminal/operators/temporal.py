@@ -11,14 +11,16 @@ from luminal.functions.vectors import distance
 
 def asof(probes: DataFrame, series: DataFrame, by: list[str], time: str = "ts", values: list[str] | None = None) -> DataFrame:
     """Each probe (by, time) with the last row of series at or before it (before_*) and the first at or after it
-    (after_*). Both sides meet in one sorted pass for each key; no pairs are made."""
+    (after_*); of several at that time the greatest before and the least after, by their values, which must have an
+    order. Rows without a time are no neighbours, and a probe without one has none. Both sides meet in two sorted passes
+    for each key, forwards and backwards, each of which only carries the last row seen; no pairs are made."""
     values = values or [c for c in series.columns if c not in (*by, time)]
-    s = series.select(*by, time, F.struct(time, *values).alias("_row")).withColumn("_kind", F.lit(0))
+    s = series.filter(F.col(time).isNotNull()).select(*by, time, F.struct(time, *values).alias("_row")).withColumn("_kind", F.lit(0))
     p = probes.withColumn("_probe", F.struct(*probes.columns)).select(*by, time, "_probe").withColumn("_kind", F.lit(1))
     both = s.unionByName(p, allowMissingColumns=True)
-    last = F.last("_row", ignorenulls=True).over(W.partitionBy(*by).orderBy(time, "_kind").rowsBetween(W.unboundedPreceding, 0))
-    first = F.first("_row", ignorenulls=True).over(W.partitionBy(*by).orderBy(time, F.desc("_kind")).rowsBetween(0, W.unboundedFollowing))
-    out = both.withColumns({"_before": last, "_after": first}).filter("_kind = 1")
+    seen = lambda *order: F.last("_row", ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    before, after = seen(time, "_kind", "_row"), seen(F.desc(time), "_kind", F.desc("_row"))
+    out = both.withColumns({"_before": before, "_after": F.when(F.col(time).isNotNull(), after)}).filter("_kind = 1")
     names = [time, *values]
     return out.select("_probe.*", *[F.col(f"_before.{c}").alias(f"before_{c}") for c in names], *[F.col(f"_after.{c}").alias(f"after_{c}") for c in names])
 
@@ -71,7 +73,7 @@ def links(df: DataFrame, by: list[str], time: str = "ts", id_col: str = "id") ->
 
 
 def replay(spark, series: DataFrame, start: float, stop: float, step: float, by: list[str], time: str = "ts", value: str = "value") -> DataFrame:
-    """The series' interpolated values at even times from start to stop."""
+    """The series' interpolated values at even times from start to stop: as many rows as there are series times steps."""
     n = int((stop - start) // step) + 1
     probes = series.select(*by).distinct().crossJoin(F.broadcast(spark.range(n).select((F.lit(start) + F.col("id") * step).cast(dict(series.dtypes)[time]).alias(time))))
     return lerp_asof(probes, series, by, time, value)

@@ -233,10 +233,10 @@ def uncertainty_style(customer):
 
 
 @query("orders", sql="""
-    SELECT o_orderkey, round(greatest(0.2, 1 - date_diff('day', o_orderdate::DATE, DATE '1998-12-31') / 365.0), 6) + 0.0 AS confidence, round(0.1 + 0.2 / (1 + 0.1 * date_diff('day', o_orderdate::DATE, DATE '1998-12-31')), 6) + 0.0 AS size FROM orders WHERE o_orderdate < TIMESTAMP '1998-12-31'""")
+    SELECT o_orderkey, round(greatest(0.2, 1 - date_diff('day', o_orderdate::DATE, DATE '2002-01-01') / 365.0), 6) + 0.0 AS confidence, round(0.1 + 0.2 / (1 + 0.1 * date_diff('day', o_orderdate::DATE, DATE '2002-01-01')), 6) + 0.0 AS size FROM orders""")
 def memory_age(orders):
-    m = mapping.memory_age(F.col("o_orderdate"), F.lit("1998-12-31").cast("date"))
-    return orders.filter("o_orderdate < timestamp'1998-12-31'").select("o_orderkey", r6(m["confidence"]).alias("confidence"), r6(m["size"]).alias("size"))
+    m = mapping.memory_age(F.col("o_orderdate"), F.lit("2002-01-01").cast("date"))
+    return orders.select("o_orderkey", r6(m["confidence"]).alias("confidence"), r6(m["size"]).alias("size"))
 
 
 @query("lineitem", sql="""

@@ -43,8 +43,7 @@ def degree(lineitem):
     from luminal.operators import graph
 
     e = lineitem.select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).distinct()
-    nodes = e.select(F.col("source").alias("id")).union(e.select("target")).distinct()
-    d = graph.degree_style(e, nodes).filter(F.startswith("id", F.lit("s")))
+    d = graph.degree_style(e).filter(F.startswith("id", F.lit("s")))
     return d.select(F.substring("id", 2, 20).cast("long").alias("id"), "degree", F.round("size", 6).alias("size"), F.round("emissive", 6).alias("emissive"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from luminal.operators import diff, graph, spatial, temporal, trees
+from luminal.operators import diff, graph, layouts, spatial, temporal, trees
 from luminal.plans.book import query, r6
 
 POINTS = "(SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
@@ -58,7 +58,7 @@ def tree_depth(region, nation, supplier):
     w(id, x, y) AS (SELECT id, 0.0::DOUBLE, 0.0::DOUBLE FROM t WHERE parent IS NULL UNION ALL SELECT k.id, w.x + (i - (n - 1) / 2.0) * 4.0, w.y - 3.0 FROM k JOIN w ON k.parent = w.id)
     SELECT id, round(x, 6) + 0.0 AS x, y FROM w""")
 def layout_tree(region, nation, supplier):
-    return trees.tree_layout(tree_rows(region, nation, supplier)).select("id", r6("x").alias("x"), "y")
+    return layouts.calculate(tree_rows(region, nation, supplier), "tree", ["id"]).select("id", r6("x").alias("x"), "y")
 
 
 @query("region", "nation", "supplier", sql=TREE + """,
@@ -66,7 +66,7 @@ def layout_tree(region, nation, supplier):
     w(id, d, a) AS (SELECT id, 0, 0.0::DOUBLE FROM t WHERE parent IS NULL UNION ALL SELECT k.id, d + 1, a - pi() / greatest(2, d) / 2 + pi() / greatest(2, d) * i / greatest(1, n - 1) FROM k JOIN w ON k.parent = w.id)
     SELECT id, round(d * 1.5 * cos(a), 5) + 0.0 AS x, round(-3.0 + d * 1.5 * sin(a), 5) + 0.0 AS z FROM w""")
 def layout_polar_tree(region, nation, supplier):
-    return trees.polar_tree(tree_rows(region, nation, supplier)).select("id", r6("x", 5).alias("x"), r6("z", 5).alias("z"))
+    return layouts.calculate_positions(tree_rows(region, nation, supplier), "tree", ["id"]).select("id", r6("x", 5).alias("x"), r6("z", 5).alias("z"))
 
 
 @query("embeddings", sql=f"SELECT a.id, b.id AS id2, round({D3}, 6) AS distance FROM {POINTS} a JOIN {POINTS} b ON a.id < b.id AND {D3} <= 0.05")

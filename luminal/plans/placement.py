@@ -74,11 +74,11 @@ def layout_globe(customer):
 
 
 @query("events", sql=f"""
-    WITH e AS (SELECT event_id AS id, (epoch_us(ts) // 1000) AS t, row_number() OVER (ORDER BY (epoch_us(ts) // 1000), event_id) - 1 AS i, min((epoch_us(ts) // 1000)) OVER () AS t0 FROM events WHERE user_id < 10)
-    SELECT id, round((2 + i * 0.15) * cos(i * {G}), 6) + 0.0 AS x, round(1.6 + (t - t0) / 1e6, 6) + 0.0 AS y, round(-3 + (2 + i * 0.15) * sin(i * {G}), 6) + 0.0 AS z FROM e""")
+    WITH e AS (SELECT event_id AS id, (epoch_us(ts) // 1000) AS t, row_number() OVER (ORDER BY (epoch_us(ts) // 1000), event_id) - 1 AS i, min((epoch_us(ts) // 1000)) OVER () AS t0 FROM events)
+    SELECT id, round((2 + i * 0.15) * cos(i * {G}), 4) + 0.0 AS x, round(1.6 + (t - t0) / 1e6, 6) + 0.0 AS y, round(-3 + (2 + i * 0.15) * sin(i * {G}), 4) + 0.0 AS z FROM e""")
 def layout_spiral_timeline(events):
-    d = events.filter("user_id < 10").select(F.col("event_id").alias("id"), F.unix_millis("ts").alias("timestamp"))
-    return placed(layouts.calculate(d, "spiral-timeline", ["id"]), 6)
+    d = events.select(F.col("event_id").alias("id"), F.unix_millis("ts").alias("timestamp"))
+    return layouts.calculate_positions(d, "timeline-spiral", ["id"]).select("id", r6("x", 4).alias("x"), r6("y").alias("y"), r6("z", 4).alias("z"))
 
 
 @query("events", sql="""
@@ -101,7 +101,15 @@ def layout_history(orders):
     return placed(layouts.calculate(orders.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year")), "history-spiral", ["id"]), 3)
 
 
-@query("customer")
+@query("customer", sql=f"""
+    WITH d AS (SELECT c_custkey AS id, c_nationkey AS wing, c_mktsegment AS room, row_number() OVER (ORDER BY c_custkey) - 1 AS o FROM customer),
+    e AS (SELECT *, min(o) OVER (PARTITION BY wing) AS wf, min(o) OVER (PARTITION BY wing, room) AS rf, row_number() OVER (PARTITION BY wing, room ORDER BY o) - 1 AS i, count(*) OVER (PARTITION BY wing, room) AS k FROM d),
+    f AS (SELECT *, dense_rank() OVER (ORDER BY wf) - 1 AS w, (SELECT count(DISTINCT wing) FROM d) AS ws, dense_rank() OVER (PARTITION BY wing ORDER BY rf) - 1 AS r, count(DISTINCT room) OVER (PARTITION BY wing) AS rs FROM e),
+    g AS (SELECT *, 1 - w / greatest(1, ws - 1)::DOUBLE * 2 AS y FROM f),
+    h AS (SELECT *, sqrt(greatest(0.0, 1 - y * y)) AS flat, r / rs * 2 * pi() AS turn, i / k * 2 * pi() AS a, ceil(sqrt(k)) AS cols FROM g)
+    SELECT id, round(cos(w * {G}) * flat * 10 + cos(turn) * 3 + CASE WHEN k <= 10 THEN cos(a) * 0.5 ELSE (i % cols - cols / 2) * 0.45 END, 5) + 0.0 AS x,
+      round(y * 10 + CASE WHEN k <= 10 THEN sin(i / 3) * 0.2 ELSE sin(i * 0.1) * 0.3 END, 5) + 0.0 AS y,
+      round(sin(w * {G}) * flat * 10 + sin(turn) * 3 + CASE WHEN k <= 10 THEN sin(a) * 0.5 ELSE (floor(i / cols) - ceil(k / cols) / 2) * 0.45 END, 5) + 0.0 AS z FROM h""")
 def layout_palace(customer):
     return placed(layouts.calculate(customers(customer), "palace", ["id"], wing="c_nationkey", room="c_mktsegment"))
 

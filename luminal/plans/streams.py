@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from luminal.operators.common import shared_dir
-from luminal.plans.book import QUERIES, query
+from luminal.plans.book import ORACLE_SQL, QUERIES, query
 from luminal.streaming import stateful
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -59,5 +59,11 @@ def stream_buffers(spark, folder):
     return _run(spark, d, "update").select("key", F.col("n").cast("long").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
 
 
+ORACLE_SQL["stream_alerts"] = """
+    WITH e AS (SELECT user_id, ts, value > 60 AS o, coalesce(lag(value > 60) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS p FROM events WHERE value IS NOT NULL)
+    SELECT user_id::VARCHAR AS key, 'high' AS rule, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CASE WHEN o THEN 'trigger' ELSE 'clear' END AS event FROM e WHERE o <> p"""
+ORACLE_SQL["stream_buffers"] = """
+    WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+    SELECT user_id::VARCHAR AS key, count(*) AS n, round(sum(value), 4) AS total FROM e WHERE r <= 5 GROUP BY user_id"""
 QUERIES["stream_alerts"] = stream_alerts
 QUERIES["stream_buffers"] = stream_buffers

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Kinds of geometry, and what may trigger a behaviour.
 TYPES = ("sphere", "box", "cone", "cylinder", "octahedron", "dodecahedron", "icosahedron", "tetrahedron", "torus", "plane", "ring", "text")
+TRIGGERS = ("hover", "hover-leave", "click", "idle", "load", "update")
 
 
 def load_tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
@@ -120,7 +122,7 @@ def validate_spec(spec: dict) -> None:
     if isinstance(c, str) and not (re.fullmatch(r"#([0-9A-Fa-f]{6}|[0-9A-Fa-f]{3})", c) or re.fullmatch(r"rgb\(\s*\d+\s*,\s*\d+\s*,\s*\d+\s*\)", c) or c.lower() in NAMED):
         faults.append(f"no colour: {c}")
     for b in spec.get("behaviours") or []:
-        if b.get("trigger") not in ("hover", "hover-leave", "click", "idle", "load", "update"):
+        if b.get("trigger") not in TRIGGERS:
             faults.append(f"unknown trigger {b.get('trigger')}")
         if not b.get("action"):
             faults.append("a behaviour has no action")

@@ -33,32 +33,40 @@ def rules_hold(df: DataFrame, rules: list[dict]) -> DataFrame:
     return df.withColumn("_r", F.explode(F.array_compact(F.array(*each)))).select(*df.columns, "_r.*")
 
 
-def stream_alerts(df: DataFrame, rules: list[dict], key: str, time: str, delay: str = "10 minutes") -> DataFrame:
-    """key, rule, severity, ts, event: trigger when a rule starts to hold for a key, clear when it ends to."""
+def stream_alerts(df: DataFrame, rules: list[dict], key: str, time: str, delay: str = "10 minutes", idle: float = 30 * 86400.0) -> DataFrame:
+    """key, rule, severity, ts, event: trigger when a rule starts to hold for a key, clear when it ends to. Rows later than
+    the watermark are dropped. A key without rows for idle seconds of event time is forgotten, and starts anew after.
+    A key's rows of one micro-batch are sorted in memory, so the source's rate limit bounds them."""
     held = rules_hold(df.select(F.col(key).cast("string").alias("key"), F.col(time).alias("ts"), *[F.col(f) for f in dict.fromkeys(r["field"] for r in rules)]), rules)
     held = held.select("key", "rule", "severity", "ts", "holds").withWatermark("ts", delay)
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         on = state.get[0] if state.exists else False
         rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
         before = rows["holds"].shift(fill_value=on)
         out = rows[rows["holds"] != before]
         state.update((bool(rows["holds"].iat[-1]),))
+        state.setTimeoutTimestamp(max(int(rows["ts"].iat[-1].value // 1_000_000), state.getCurrentWatermarkMs()) + int(idle * 1000) + 1)
         if len(out):
             yield pd.DataFrame({"key": out["key"], "rule": out["rule"], "severity": out["severity"], "ts": out["ts"], "event": out["holds"].map({True: "trigger", False: "clear"})})
 
-    return held.groupBy("key", "rule").applyInPandasWithState(step, "key string, rule string, severity string, ts timestamp, event string", "on boolean", "append", GroupStateTimeout.NoTimeout)
+    return held.groupBy("key", "rule").applyInPandasWithState(step, "key string, rule string, severity string, ts timestamp, event string", "on boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_buffer(df: DataFrame, key: str, time: str, value: str, capacity: int = 1000) -> DataFrame:
-    """After each micro-batch, for each key that got rows: the last capacity (ts, value) in order of arrival."""
+    """After each micro-batch, for each key that got rows: the last capacity (ts, value) in order of arrival, the rows of
+    one micro-batch being in order of time."""
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(time).alias("ts"), F.col(value).cast("double").alias("value"))
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times, values = (list(x) for x in state.get) if state.exists else ([], [])
+        new = None
         for p in parts:
-            p = p.sort_values("ts", kind="stable")
-            times, values = (times + [int(t.value // 1000) for t in p["ts"]])[-capacity:], (values + p["value"].tolist())[-capacity:]
+            new = (p if new is None else pd.concat([new, p])).sort_values("ts", kind="stable").tail(capacity)
+        times, values = (times + [int(t.value // 1000) for t in new["ts"]])[-capacity:], (values + new["value"].tolist())[-capacity:]
         state.update((times, values))
         yield pd.DataFrame({"key": k[0], "n": len(times), "ts": [times], "values": [values]})
 
