@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from luminal.operators.common import cut, shared_dir  # noqa: F401
+
 #: ASCII white space; words are what stands between it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,25 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = where.get() if where.isDefined() else "file://" + tempfile.mkdtemp(prefix="luminal-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
-    Unlike checkpoint() it keeps statistics and column pruning."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/luminal/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The words of a text, null counting as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

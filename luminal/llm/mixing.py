@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from luminal.llm.common import SPACE, cut
 
 CELL_ROWS = 500  # a cell is what one window group ranks
+PART_CELLS = 1000  # cells of a band whose offsets one window group adds up
+SMALL = 100_000  # rows of a table of bands that may be broadcast
 
 
 def word_count(text: Column) -> Column:
@@ -19,7 +21,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
     """sources (skey, source_size) with target: share of all sizes dealt by weight, none above cap times its
     source's size, the excess reshared by weight. Water filling has a closed form: the sources that reach
     their cap are those with the least cap for their weight, and prefix sums in that order give the level.
-    The table has one row per source."""
+    The table has one row per source; the windows over all of them are meant for sources by the thousand."""
     by_key, by_ratio = W.orderBy("skey"), W.orderBy("ratio", "skey")
     everything = W.partitionBy()
     s = sources.withColumn("k", (F.row_number().over(by_key) - 1) % len(weights))
@@ -36,11 +38,11 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, cap: float = 3.0, seed: int = 0) -> DataFrame:
-    """One row per row of df: id_col, size, source_size, target, copies, taken.
+    """One row per row of df: id_col, size, source_size, target, taken, copies.
 
     Size is the number of words (null text: 0). Weights repeat over the sources in code point order, a null
-    source last. Within a source documents are ordered by size, then by a hash of the id; document i (from 1)
-    at rate r = target / source_size is emitted once per integer in (u + (i-1) r, u + i r], u being one offset
+    source last. Within a source documents are ordered by band of size (eight to a doubling), then by a hash of the id
+    (of the text, where it is null), then by size; document i (from 1) at rate r = target / source_size is emitted once per integer in (u + (i-1) r, u + i r], u being one offset
     drawn from the seed and the source. So copies are floor(r) or ceil(r), never above cap, reruns agree, and
     because neighbours in the order have like sizes the words taken come near the target.
     A source without words has target 0 and takes nothing; repeated rows count separately; an empty table gives
@@ -49,6 +51,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         F.col(id_col).alias("id"),
         F.when(F.col(source_col).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string"))).alias("skey"),
         word_count(F.col(text_col)).alias("size"),
+        F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")))).otherwise(F.col(id_col).cast("string")).alias("mark"),
     )
     sized = cut(sized, "mix-sizes")
     md5 = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
@@ -56,13 +59,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     # since a third of all rows may be copies of one size
     more, doubling = F.col("size") + 1, F.length(F.bin(F.col("size") + 1)) - 1
     sized = sized.withColumn("band", (doubling * 8 + F.floor(more * 8 / F.pow(F.lit(2.0), doubling)) - 8).cast("int"))
-    bands = sized.groupBy("skey", "band").agg((1 + F.floor(F.count("*") / CELL_ROWS)).alias("salts"))
-    sized = sized.join(bands, ["skey", "band"]).withColumn("salt", md5(F.coalesce(F.col("id").cast("string"), F.lit(""))) % F.col("salts")).drop("salts")
+    bands = cut(sized.groupBy("skey", "band").agg((1 + F.floor(F.count("*") / CELL_ROWS)).alias("salts")), "mix-bands")
+    bands = F.broadcast(bands) if bands.count() <= SMALL else bands
+    sized = sized.join(bands, ["skey", "band"]).withColumn("salt", md5(F.col("mark")) % F.col("salts")).drop("salts", "mark")
     cell = ["skey", "band", "salt"]
     cells = sized.groupBy(cell).agg(F.count("*").alias("n"), F.sum("size").alias("cell_size"))
     cells = cut(cells, "mix-cells")
     goal = targets(cells.groupBy("skey").agg(F.sum("cell_size").alias("source_size")), weights, share, cap)
-    offset = cells.withColumn("offset", F.sum("n").over(W.partitionBy("skey").orderBy("band", "salt")) - F.col("n")).drop("n", "cell_size")
+    # offsets in two steps, so that no task adds up all cells of a source
+    cells = cells.withColumn("part", F.floor(F.col("salt") / PART_CELLS))
+    part = ["skey", "band", "part"]
+    parts = cells.groupBy(part).agg(F.sum("n").alias("part_n"))
+    parts = parts.withColumn("before", F.sum("part_n").over(W.partitionBy("skey").orderBy("band", "part")) - F.col("part_n")).drop("part_n")
+    inside = F.sum("n").over(W.partitionBy(part).orderBy("salt")) - F.col("n")
+    offset = cells.withColumn("inside", inside).join(parts, part).withColumn("offset", F.col("before") + F.col("inside")).select(*cell, "offset")
     plan = offset.join(goal, "skey").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     ranked = sized.withColumn("rank", F.row_number().over(W.partitionBy(cell).orderBy("size", F.col("id").asc_nulls_first())))
     out = ranked.join(plan, cell)
@@ -70,4 +80,4 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     crossed = lambda i: F.floor(i * F.col("rate") + u)
     i = F.col("offset") + F.col("rank")
     copies = (crossed(i) - crossed(i - 1)).cast("long")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))

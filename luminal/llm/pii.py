@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8  # even, so that the halves of a value come back to their places
 
-#: Candidates, most specific first; fixed values.
+#: Candidates, most specific first; fixed values. What may repeat without bound is possessive: Java then takes it in a
+#: loop, where it would otherwise call itself for every repeat and run out of stack on a long text.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9])|(?<![A-Za-z0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[A-Za-z0-9])",
@@ -32,8 +33,8 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _digest(key: str, kind: str, round_: Column, half: Column) -> Column:
-    return F.sha2(F.concat(F.lit(f"{key}/{kind}/"), round_.cast("string"), F.lit("/"), half.cast("string")), 256)
+def _digest(key: Column | str, kind: str, round_: Column, half: Column) -> Column:
+    return F.sha2(F.concat(key if isinstance(key, Column) else F.lit(key), F.lit(f"/{kind}/"), round_.cast("string"), F.lit("/"), half.cast("string")), 256)
 
 
 def _rounds(restore: bool) -> Column:
@@ -47,7 +48,7 @@ def _network(left: Column, right: Column, mix, restore: bool) -> Column:
     return F.aggregate(_rounds(restore), first, step)
 
 
-def permute_characters(s: Column, key: str, kind: str, restore: bool = False) -> Column:
+def permute_characters(s: Column, key: Column | str, kind: str, restore: bool = False) -> Column:
     """s with each digit moved among digits and each letter among letters of its case; other characters stay."""
     sign = -1 if restore else 1
 
@@ -67,7 +68,7 @@ def permute_characters(s: Column, key: str, kind: str, restore: bool = False) ->
     return _let(out, lambda o: F.concat(o["a"], o["b"]))
 
 
-def permute_number(x: Column, sizes: tuple[int, int], key: str, kind: str, restore: bool = False) -> Column:
+def permute_number(x: Column, sizes: tuple[int, int], key: Column | str, kind: str, restore: bool = False) -> Column:
     """A long from 0 to sizes[0] * sizes[1] - 1, permuted among them."""
     sign = -1 if restore else 1
 
@@ -102,14 +103,14 @@ def mod97(s: Column) -> Column:
     return F.aggregate(F.split(s, ""), F.lit(0).cast("long"), lambda m, c: (m * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97)
 
 
-def _card(v: Column, key: str, restore: bool) -> Column:
+def _card(v: Column, key: Column | str, restore: bool) -> Column:
     d = _digits(v)
     body = permute_characters(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", restore)
     fresh = _let(body, lambda b: F.concat(b, F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
     return F.when(luhn_sum(d) % 10 == 0, _let(fresh, lambda f: _laid_out(v, f))).otherwise(v)
 
 
-def _iban(v: Column, key: str, restore: bool) -> Column:
+def _iban(v: Column, key: Column | str, restore: bool) -> Column:
     plain = F.regexp_replace(v, " ", "")
     country = F.substring(plain, 1, 2)
     turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
@@ -118,7 +119,7 @@ def _iban(v: Column, key: str, restore: bool) -> Column:
     return F.when(mod97(turned) == 1, _let(fresh, lambda f: _laid_out(v, f))).otherwise(v)
 
 
-def _phone(v: Column, key: str, restore: bool) -> Column:
+def _phone(v: Column, key: Column | str, restore: bool) -> Column:
     """The first digit after a plus stays, as part of the country's code."""
     d = _digits(v)
     keep = F.when(F.startswith(v, F.lit("+")), 1).otherwise(0)
@@ -126,14 +127,14 @@ def _phone(v: Column, key: str, restore: bool) -> Column:
     return F.when(F.length(d).between(8, 15), _let(fresh, lambda f: _laid_out(v, f))).otherwise(v)
 
 
-def _ip(v: Column, key: str, restore: bool) -> Column:
+def _ip(v: Column, key: Column | str, restore: bool) -> Column:
     octets = F.transform(F.split(v, r"\."), lambda o: o.cast("long"))
     x = F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o)
     show = lambda y: F.concat_ws(".", *[F.pmod(F.shiftright(y, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
     return F.when(F.array_max(octets) < 256, _let(permute_number(x, (1 << 16, 1 << 16), key, "ip", restore), show)).otherwise(v)
 
 
-def _date(v: Column, key: str, restore: bool) -> Column:
+def _date(v: Column, key: Column | str, restore: bool) -> Column:
     """yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, and dd/mm/yyyy where the month is above 12. Within 400 years of it,
     where all weekdays and leap years come round."""
     iso, a, b = F.substring(v, 5, 1) == "-", F.substring(v, 1, 2), F.substring(v, 4, 2)
@@ -154,7 +155,7 @@ def _date(v: Column, key: str, restore: bool) -> Column:
     return F.when(day.isNull() | (F.year(day) < 1), v).otherwise(_let(moved, show))
 
 
-def _ssn(v: Column, key: str, restore: bool) -> Column:
+def _ssn(v: Column, key: Column | str, restore: bool) -> Column:
     area, group, serial = (F.substring(v, *at).cast("long") for at in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
     x = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
@@ -167,12 +168,12 @@ def _ssn(v: Column, key: str, restore: bool) -> Column:
     return F.when(valid, _let(permute_number(x, SSNS, key, "ssn", restore), show)).otherwise(v)
 
 
-def _email(v: Column, key: str, restore: bool) -> Column:
+def _email(v: Column, key: Column | str, restore: bool) -> Column:
     at = F.instr(v, "@")
     return F.concat(permute_characters(F.substring(v, F.lit(1), at - 1), key, "email", restore), F.substring(v, at, F.length(v)))
 
 
-def pseudonym(v: Column, key: str, restore: bool = False) -> Column:
+def pseudonym(v: Column, key: Column | str, restore: bool = False) -> Column:
     """What stands for v; v itself if it passes no validation."""
     made = {"email": _email, "iban": _iban, "phone": _phone, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card}
     out = v
@@ -187,12 +188,15 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
 
     Every candidate of a text is judged, however long the text. A null text stays null, with no values; an empty one
     stays empty; rows that repeat give equal rows; an empty table stays empty. restore with the same key gives
-    back what was replaced."""
+    back what was replaced. The key, which must not be empty, is data and no literal: no plan or event log shows it."""
+    if not key:
+        raise ValueError("a key is needed")
     t = F.col("_t")
-    base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    secret = df.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), secret.alias("_key"))
     may = t.rlike("[0-9@]")
     found = F.when(may, F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
-    rows = base.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key, restore)))
+    rows = base.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda v: pseudonym(v, F.col("_key"), restore)))
     rebuilt = F.array_join(F.zip_with(F.split(t, ANY, -1), F.col("_new"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     some = F.coalesce(F.size("_found") > 0, F.lit(False))
     changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda c: c))

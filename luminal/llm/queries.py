@@ -6,6 +6,7 @@ from luminal.llm.common import table
 
 
 def op1_url_filters(spark, sf_dir):
+    """Every url of pages by the rules and the template tree. A null url has an empty host and path."""
     from pyspark.sql import functions as F
 
     from luminal.llm.urls import UrlRule, judge
@@ -15,12 +16,14 @@ def op1_url_filters(spark, sf_dir):
 
 
 def op3_exact_dedup(spark, sf_dir):
+    """Every document with the one that stays of its equals."""
     from luminal.llm.exact import exact_duplicates
 
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_bpe(spark, sf_dir):
+    """Every document encoded whole and decoded again."""
     import public_tokenizers
     from pyspark.sql import functions as F
 
@@ -32,12 +35,14 @@ def op2_bpe(spark, sf_dir):
 
 
 def op4_simhash(spark, sf_dir):
+    """Every document with its fingerprint and component."""
     from luminal.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, lanes=1, most=4)
 
 
 def op5_suffix_dedup(spark, sf_dir):
+    """Every document without what starts earlier elsewhere."""
     from pyspark.sql import functions as F
 
     from luminal.llm.suffix import remove_repeats
@@ -47,6 +52,7 @@ def op5_suffix_dedup(spark, sf_dir):
 
 
 def op7_token_counts(spark, sf_dir):
+    """Every document with its count of tokens."""
     import public_tokenizers
 
     from luminal.llm.counts import token_counts
@@ -55,30 +61,38 @@ def op7_token_counts(spark, sf_dir):
 
 
 def op10_fingerprints(spark, sf_dir):
+    """Every document and its edited text, fingerprinted."""
     from luminal.llm.minhash import edited_likeness
 
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
 def op6_mixing(spark, sf_dir):
+    """Every document with the words that the mix takes of it."""
     from luminal.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark, sf_dir):
+    """Every document with its score, learned outside the held-out third."""
     from luminal.llm.quality import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_pii(spark, sf_dir):
+    """Pseudonyms under the key in luminal.pii.key; where it is unset, under a key of this run alone."""
+    import secrets
+
     from luminal.llm.pii import pseudonymise
 
-    return pseudonymise(table(spark, sf_dir, "documents"), key=spark.conf.get("luminal.pii.key", "not a secret"))
+    key = spark.conf.get("luminal.pii.key", None) or secrets.token_hex(32)
+    return pseudonymise(table(spark, sf_dir, "documents"), key)
 
 
 def pipeline(spark, sf_dir):
+    """The five stages of corpus_pipeline over documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -86,7 +100,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_exact_dedup, op4_simhash, op5_suffix_dedup, op6_mixing, op7_token_counts, op8_quality, op9_pii, op10_fingerprints, pipeline)}
 
-#: A level of the template tree of op1: segment k of the rows of l<k-1>, and what becomes of it.
+#: A level of the template tree of op1: segment k of the rows of l<k-1>, and what becomes of it. SQL has eight levels.
 _LEVEL = """
     s{k} AS (SELECT *, coalesce(segs[{k}], chr(1)) AS seg, segs[{k} + 1] AS below FROM l{j}),
     b{k} AS (SELECT host, node, seg, sum(n) AS n, sum(bad) AS bad, sum(CASE WHEN below IS NULL THEN n ELSE 0 END) AS last, sum(CASE WHEN contains(below, '#') THEN n ELSE 0 END) AS numbered FROM s{k} GROUP BY ALL),
@@ -104,23 +118,23 @@ ORACLE_SQL = {
         WHEN ('.' || host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN ('.' || host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p),
     v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM u),
     g AS (SELECT host, shape, count(*) AS n, count(said) AS seen, count(*) FILTER (WHERE said = 'block') AS bad, string_split(shape, '/')[2:] AS parts FROM v GROUP BY host, shape),
-    l0 AS (SELECT host, shape, CASE WHEN len(parts) > 4 THEN list_concat(parts[1:3], ['**']) ELSE parts END AS segs, '' AS node, n::DOUBLE AS n, seen::DOUBLE AS seen, bad::DOUBLE AS bad FROM g),"""
-    + "".join(_LEVEL.format(k=k, j=k - 1) for k in (1, 2, 3, 4))
+    l0 AS (SELECT host, shape, parts AS segs, '' AS node, n::DOUBLE AS n, seen::DOUBLE AS seen, bad::DOUBLE AS bad FROM g),"""
+    + "".join(_LEVEL.format(k=k, j=k - 1) for k in range(1, 9))
     + """
     q AS (SELECT CASE WHEN sum(seen) > 0 THEN sum(bad) / sum(seen) ELSE 0.0 END AS prior FROM l0),
-    f AS (SELECT host, node, (sum(bad) + any_value(prior) * (4 + (sum(n) - sum(seen)) / 2)) / (sum(seen) + 4 + (sum(n) - sum(seen)) / 2) AS purity FROM l4, q GROUP BY host, node)
-    SELECT v.page_id, v.host, v.path, v.rule, v.host || l4.node AS template, round(f.purity, 9) AS purity, coalesce(v.said, CASE WHEN f.purity >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict
-    FROM v JOIN l4 ON v.host = l4.host AND v.shape = l4.shape JOIN f ON l4.host = f.host AND l4.node = f.node""",
+    f AS (SELECT host, node, (sum(bad) + any_value(prior) * (4 + (sum(n) - sum(seen)) / 2)) / (sum(seen) + 4 + (sum(n) - sum(seen)) / 2) AS purity FROM l8, q GROUP BY host, node)
+    SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.said, CASE WHEN f.purity >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict, v.host || l8.node AS template, round(f.purity, 9) AS purity
+    FROM v JOIN l8 ON v.host = l8.host AND v.shape = l8.shape JOIN f ON l8.host = f.host AND l8.node = f.node""",
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
     "op6_mixing": r"""
-    WITH d AS (SELECT doc_id AS id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+    WITH d AS (SELECT doc_id AS id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS mark, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
     b AS (SELECT *, 8 * (length(bin(size + 1)) - 1) + floor((size + 1) * 8 / pow(2.0, length(bin(size + 1)) - 1))::BIGINT - 8 AS band FROM d),
     c AS (SELECT *, count(*) OVER (PARTITION BY skey, band) AS k FROM b),
-    s AS (SELECT *, ('0x' || substr(md5(coalesce(id::VARCHAR, '')), 1, 8))::BIGINT % (1 + k // 500) AS salt FROM c),
+    s AS (SELECT *, ('0x' || substr(md5(mark), 1, 8))::BIGINT % (1 + k // 500) AS salt FROM c),
     cells AS (SELECT skey, band, salt, count(*) AS n, sum(size) AS cell_size FROM s GROUP BY ALL),
     offs AS (SELECT skey, band, salt, sum(n) OVER (PARTITION BY skey ORDER BY band, salt) - n AS base FROM cells),
     src AS (SELECT skey, sum(cell_size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY skey) - 1) % 3 + 1]::DOUBLE AS w FROM cells GROUP BY skey),
@@ -131,5 +145,5 @@ ORACLE_SQL = {
     p AS (SELECT s.id, s.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate, base + row_number() OVER (PARTITION BY s.skey, s.band, s.salt ORDER BY s.size, s.id NULLS FIRST) AS i
         FROM s JOIN offs o ON s.skey = o.skey AND s.band = o.band AND s.salt = o.salt JOIN t ON s.skey = t.skey),
     q AS (SELECT *, (floor(i::BIGINT * rate + u) - floor((i::BIGINT - 1) * rate + u))::BIGINT AS copies FROM p)
-    SELECT id AS doc_id, size, source_size, target, copies, copies * size AS taken FROM q""",
+    SELECT id AS doc_id, size, source_size, target, copies * size AS taken, copies FROM q""",
 }

@@ -39,16 +39,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _fits(rule: UrlRule) -> Column:
-    host = (F.col("_host") == rule.host) | F.endswith(F.col("_host"), F.lit("." + rule.host))
-    return host & F.startswith(F.col("_path"), F.lit(rule.path))
-
-
-def _first(rules: list[UrlRule], value) -> Column:
-    out = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r.name)):  # the longest is asked first
-        out = F.when(_fits(rule), F.lit(value(rule))).otherwise(out)
-    return out
+def _ruled(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
+    """urls (_id, _host, _path) with _rule and _said, what the longest rule that fits says. Rules meet hosts by an
+    equi-join on the hosts' last labels, as many as the longest rule's host has, so there may be thousands of rules;
+    each distinct host is looked up once."""
+    table = urls.sparkSession.createDataFrame(
+        [(r.host, -len(r.name), i, r.path, r.name, r.verdict) for i, r in enumerate(rules)], "_suffix string, longest int, place int, path string, name string, verdict string"
+    )
+    labels = F.split("_host", r"\.")
+    most = max((r.host.count(".") + 1 for r in rules), default=1)
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
+    hosts = urls.select("_host").distinct().select("_host", F.explode(ends).alias("_suffix"))
+    fits = hosts.join(table, "_suffix").groupBy("_host").agg(F.array_sort(F.collect_list(F.struct("longest", "place", "path", "name", "verdict"))).alias("_fits"))
+    hit = F.get(F.filter("_fits", lambda r: F.startswith(F.col("_path"), r["path"])), F.lit(0))
+    return urls.join(fits, "_host", "left").withColumn("_hit", hit).select("_id", "_host", "_path", F.col("_hit.name").alias("_rule"), F.col("_hit.verdict").alias("_said"))
 
 
 def templates(urls: DataFrame) -> DataFrame:
@@ -101,19 +105,17 @@ def templates(urls: DataFrame) -> DataFrame:
 
 
 def judge(df: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per row of df: id_col, host, path, rule, template, purity, verdict (allow or block).
+    """One row per row of df: id_col, host, path, rule, verdict (allow or block), template, purity.
 
     The longest rule that fits a url decides (of equally long ones the first listed); other urls are blocked if their
     template is rejected. A url that is null or has no :// has empty host and path, fits no rule and is allowed unless
     its template, the empty one, is rejected. Repeated rows are judged alike; an empty table gives an empty result."""
-    rules = list(reversed(rules))  # so that of equal lengths the first listed is asked first
     urls = df.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("_host"), path_of(F.col(url_col)).alias("_path"))
-    urls = urls.withColumn("_rule", _first(rules, lambda r: r.name)).withColumn("_said", _first(rules, lambda r: r.verdict))
-    urls = cut(urls, "urls")
+    urls = cut(_ruled(urls, rules), "urls")
     label = F.when(F.col("_said") == "block", 1).when(F.col("_said") == "allow", 0)
     tree = templates(urls.withColumn("_label", label))
     out = urls.withColumn("_shape", F.regexp_replace("_path", "[0-9]+", "#")).join(tree, ["_host", "_shape"])
     return out.select(
-        F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), "template", "purity",
-        F.coalesce("_said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"),
+        F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
+        F.coalesce("_said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity",
     )

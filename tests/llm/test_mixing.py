@@ -47,3 +47,16 @@ def test_odd_rows(spark):
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted(r.size for r in out) == [0, 0, 1, 1, 2, 2]
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_offsets_in_parts_and_long_texts(spark, monkeypatch):
+    """Offsets are the same however many cells a part has; null ids are told apart by their texts."""
+    rows = [(i if i % 3 else None, f"t{i} " * (i % 5 + 1), "ab"[i % 2]) for i in range(900)] + [(5000, "w " * 400_000, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "CELL_ROWS", 5)
+    whole = sorted(map(tuple, mixing.mix(df).collect()), key=repr)
+    monkeypatch.setattr(mixing, "PART_CELLS", 2)
+    assert sorted(map(tuple, mixing.mix(df).collect()), key=repr) == whole
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    assert sorted(map(tuple, mixing.mix(df).collect()), key=repr) == whole
+    assert [r[1] for r in whole if r[0] == 5000] == [400_000]

@@ -1,3 +1,7 @@
+import datetime
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from luminal.llm import pii
@@ -43,3 +47,52 @@ def test_permutations_are_one_to_one(spark):
     assert s.distinct().count() == 1000
     back = d.limit(50).select("id", pii.permute_number(F.col("y"), pii.DAYS, "k", "date", restore=True).alias("b"))
     assert back.filter("id <> b").count() == 0
+
+
+def test_a_key_is_needed_and_no_plan_shows_it(spark, capsys):
+    df = spark.createDataFrame([(1, "ip 10.0.0.1")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df, "")
+    pii.pseudonymise(df, "hush-hush").explain("extended")
+    assert "hush-hush" not in capsys.readouterr().out
+
+
+def test_long_texts_of_every_kind(spark):
+    """A megabyte that each pattern could repeat over."""
+    n = 200_000
+    texts = ["x a@" + "b." * n, "a@b" + ".c" * n, "a." * n + "@b.c", "a@" * n, "AB12" + " ABCD" * n, "+1" + " (22)" * n, "1." * n, "1" * n, "1234 " * n, "12/" * n, "2024-01-" * n, "9-" * n, "mail a1@x.org " * (n // 4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    assert all(len(out[i].text) == len(t) for i, t in enumerate(texts) if i != 12)
+    assert out[1].n_values == 1 and out[12].n_candidates == out[12].n_values == n // 4
+    back = pii.pseudonymise(spark.createDataFrame([(i, r.text) for i, r in out.items()], "doc_id long, text string"), "k", restore=True)
+    assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate(texts))
+
+
+def feistel(value, key, kind, size):
+    """A number below size[0] * size[1], pseudonymised in plain Python."""
+    a, b = divmod(value, size[1])
+    for r in range(pii.ROUNDS):
+        drawn = int(hashlib.sha256(f"{key}/{kind}/{r}/{b}".encode()).hexdigest()[:12], 16)
+        a, b = b, (a + drawn) % (size[0] if r % 2 == 0 else size[1])
+    return a * size[1] + b
+
+
+def test_numbers_as_in_plain_python(spark):
+    def ip(x):
+        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+
+    def ssn(x):
+        area, rest = divmod(x, 99 * 9999)
+        return f"{area + (2 if area >= 665 else 1):03d}-{rest // 9999 + 1:02d}-{rest % 9999 + 1:04d}"
+
+    def day(x):
+        return (datetime.date(2000, 1, 1) + datetime.timedelta(days=x)).isoformat()
+
+    rows, want = [], []
+    for i in range(60):
+        a, s, d = i * 71_000_003 % (1 << 32), i * 14_000_029 % (898 * 99 * 9999), i * 2_411 % (pii.DAYS[0] * pii.DAYS[1])
+        rows.append((i, f"at {ip(a)} id {ssn(s)} on {day(d)}"))
+        want.append(f"at {ip(feistel(a, 'k', 'ip', (1 << 16, 1 << 16)))} id {ssn(feistel(s, 'k', 'ssn', pii.SSNS))} on {day(feistel(d, 'k', 'date', pii.DAYS))}")
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r.text for r in got] == want

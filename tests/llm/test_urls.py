@@ -49,3 +49,15 @@ def test_deep_paths_are_told_apart(spark):
         assert len(got) == len(urls)
         assert got[f"{deep}/spam/7"].template.endswith("/spam/*") and got[f"{deep}/spam/7"].verdict == "block"
         assert got[f"{deep}/news/7"].template.endswith("/news/*") and got[f"{deep}/news/7"].verdict == "allow"
+
+
+def test_many_rules_and_odd_rows(spark):
+    rules = [UrlRule("block", f"h{i}.com", f"/p{i % 7}/") for i in range(3000)] + [UrlRule("allow", "h5.com", "/p5/ok"), UrlRule("allow", "com", "/p5/")]
+    urls = ["http://h5.com/p5/x", "http://h5.com/p5/ok/1", "http://a.b.h12.com/p5/", "http://a.b.h12.com/p1/", "http://x.com/p5/1", "http://" + "a." * 50_000 + "h5.com/p5/" + "y/" * 3, "http://h5.com/p5/x", "http://h5.com/" + "z" * 300_000]
+    df = spark.createDataFrame([(0, u, 1) for u in urls], "page_id int, url string, purity int")
+    got = judge(df, rules).collect()
+    assert len(got) == len(urls)
+    said = {(r.host, r.path): r.rule for r in got}
+    assert said["h5.com", "/p5/x"] == "h5.com/p5/" and said["h5.com", "/p5/ok/1"] == "h5.com/p5/ok" and said["a.b.h12.com", "/p5/"] == "h12.com/p5/"
+    assert said["a.b.h12.com", "/p1/"] is None and said["x.com", "/p5/1"] == "com/p5/" and said["a." * 50_000 + "h5.com", "/p5/" + "y/" * 3] == "h5.com/p5/"
+    assert judge(df, []).filter("rule is not null").count() == 0
