@@ -57,24 +57,20 @@ def force(df, order, edges: DataFrame | None = None, id_col: str = "id", **optio
     return force_layout(df.drop("x", "y", "z"), edges, order, id_col=id_col, **options)
 
 
-def _rooted(df: DataFrame, parent_col: str) -> DataFrame:
-    return df if parent_col in df.columns else df.withColumn(parent_col, F.lit(None).cast("string"))
-
-
 @layout("tree")
 def tree(df, order=(), id_col: str = "id", parent_col: str = "parent", **options):
-    """Rows that are not under the first root have no position."""
+    """Rows that are not under the first root have no position. A table without a parent column is laid out as a grid."""
     from luminal.operators.trees import tree_layout
 
-    return _beside(df, tree_layout(_rooted(df, parent_col), id_col, parent_col, **options), id_col)
+    return _beside(df, tree_layout(df, id_col, parent_col, **options), id_col) if parent_col in df.columns else grid(df, order)
 
 
 @layout("polar-tree")
 def polar(df, order=(), id_col: str = "id", parent_col: str = "parent", **options):
-    """Rows that are not under the first root have no position."""
+    """Rows that are not under the first root have no position. A table without a parent column is laid out on a sphere."""
     from luminal.operators.trees import polar_tree
 
-    return _beside(df, polar_tree(_rooted(df, parent_col), id_col, parent_col, **options), id_col)
+    return _beside(df, polar_tree(df, id_col, parent_col, **options), id_col) if parent_col in df.columns else sphere(df, order)
 
 
 def _place(df: DataFrame, x: Column, y: Column, z: Column, drop: tuple = ()) -> DataFrame:

@@ -96,10 +96,10 @@ def joined(left: DataFrame, right: DataFrame, key: str, left_time: str, right_ti
     return l.join(r, (F.col(key) == F.col("_key")) & near).drop("_key")
 
 
-def publish(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, per_second: float | None = None):
-    """Each micro-batch to sink; at most per_second of them. Without a rate all that is there is taken and the query
+def publish(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, per_second: float | None = None, mode: str = "update"):
+    """Each micro-batch to sink; at most per_second of them; in mode append for what only adds rows, such as alerts. Without a rate all that is there is taken and the query
     ends. A restarted query goes on from its checkpoint."""
-    w = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("update" if df.isStreaming else "append")
+    w = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode)
     return (w.trigger(processingTime=f"{int(1000 / per_second)} milliseconds") if per_second else w.trigger(availableNow=True)).start()
 
 

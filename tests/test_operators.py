@@ -208,3 +208,75 @@ def test_search_goes_on_until_nothing_is_left(spark):
 
     way = spark.range(54).selectExpr("id source", "id + 1 target").coalesce(1)
     assert sorted((r.id, r.hops) for r in graph.distances_from(way, 0).collect()) == [(i, i) for i in range(55)]
+
+
+def test_asof_is_linear_in_a_key(spark):
+    """A million rows of one key; a window that looked ahead from each row would not end."""
+    n = 1_000_000
+    s = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 2).alias("ts"), F.col("id").cast("double").alias("value"))
+    p = spark.range(1000).select(F.lit(1).alias("k"), (F.col("id") * 1999 + 1).alias("ts"))
+    from luminal.operators import temporal
+
+    d = temporal.asof(p, s, ["k"])
+    bad = d.filter("before_ts <> ts - ts % 2 or after_ts <> ts + ts % 2")
+    assert d.count() == 1000 and bad.count() == 0
+
+
+def test_asof_ties_and_nulls(spark):
+    from luminal.operators import temporal
+
+    s = spark.createDataFrame([(1, 10, 1.0), (1, 10, 2.0), (1, None, 9.0), (2, 5, 3.0)], "k int, ts int, value double")
+    p = spark.createDataFrame([(1, 10), (1, 11), (1, 9), (1, None), (3, 1)], "k int, ts int")
+    got = {(r.k, r.ts): (r.before_value, r.after_value) for r in temporal.asof(p, s, ["k"]).collect()}
+    assert got == {(1, 10): (2.0, 1.0), (1, 11): (2.0, None), (1, 9): (None, 1.0), (1, None): (None, None), (3, 1): (None, None)}
+
+
+def test_every_topology_and_name_is_placed(spark):
+    from luminal.operators import layouts
+
+    link = "array(named_struct('to', id + 1, 'weight', 1.0D, 'type', 'x'))"
+    df = spark.range(9).selectExpr("id", "if(id = 0, null, (id - 1) div 2) parent", f"{link} links", "id * 1000 timestamp", "array(0.1D, 0.2D, 0.3D) embedding", "'c' category", "1.0D lat", "2.0D lng")
+    for topology in ("graph", "tree", "timeline-spiral", "timeline", "scatter", "globe", "grid", "matrix", "anything"):
+        options = {"rounds": 2} if topology == "graph" else {}
+        d = layouts.calculate_positions(df, topology, ["id"], **options)
+        assert d.filter("x is not null and y is not null and z is not null").count() == 9, topology
+    for name in ("force", "tree", "polar-tree"):
+        assert layouts.calculate(df, name, ["id"], **({"rounds": 2} if name == "force" else {})).count() == 9
+    apart = spark.createDataFrame([(1, None), (2, None), (3, 1)], "id int, parent int")
+    assert {r.id: r.y for r in layouts.calculate(apart, "tree", ["id"]).collect()} == {1: 0.0, 2: None, 3: -3.0}
+
+
+def test_late_rows_raise_no_alerts(spark, tmp_path):
+    import os
+
+    from luminal.streaming import stateful
+
+    rows = [("2024-01-01 12:00:00", 90.0), ("2024-01-01 12:01:00", 90.0), ("2024-01-01 12:30:00", 90.0), ("2024-01-01 09:00:00", 10.0), ("2024-01-01 12:31:00", 90.0), ("2024-01-01 12:32:00", 10.0)]
+    for i, r in enumerate(rows):
+        with open(tmp_path / f"{i}.csv", "w") as f:
+            f.write(f"a,{r[0]},{r[1]}\n")
+        os.utime(tmp_path / f"{i}.csv", (1_700_000_000 + i * 10,) * 2)
+    d = spark.readStream.schema("key string, ts timestamp, value double").option("maxFilesPerTrigger", 1).csv(str(tmp_path))
+    out = stateful.stream_alerts(d, [{"field": "value", "threshold": 60.0}], "key", "ts")
+    found = []
+    stateful.publish(out, lambda b, i: found.extend(b.collect()), str(tmp_path / "log"), mode="append").awaitTermination()
+    assert [(str(r.ts), r.event) for r in found] == [("2024-01-01 12:00:00", "trigger"), ("2024-01-01 12:32:00", "clear")]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from luminal.operators.common import shared_dir
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    return type("C", (), {"getCheckpointDir": lambda self: type("N", (), {"isDefined": lambda self: False})()})()
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster())
