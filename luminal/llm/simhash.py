@@ -178,14 +178,14 @@ def links_in(indexed: np.ndarray, probing: np.ndarray, most: int):
     at = at.ravel()
     word = lambda m: np.ascontiguousarray(m).view(np.uint64).reshape(len(m), size // 8)
     a, b, found_a, found_b = word(indexed), word(probing), [], []
-    step = max(1, (1 << 20) // max(1, len(b)))
+    step = max(1, (1 << 18) // max(1, len(b)))
     label = np.arange(len(nodes))
     for k in range(0, len(a), step):
         far = sum(np.bitwise_count(a[k : k + step, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(size // 8))
         i, j = np.nonzero(far <= most)
         found_a.append(at[k + i])
         found_b.append(at[len(a) + j])
-        if sum(map(len, found_a)) > 1 << 22:  # fold what there is, so that a dense bucket stays small
+        if sum(map(len, found_a)) > 1 << 18:  # fold what there is, so that a dense bucket stays small
             label = stars(np.concatenate([*found_a, np.arange(len(nodes))]), np.concatenate([*found_b, label]), len(nodes))
             found_a, found_b = [], []
     label = stars(np.concatenate([*found_a, np.arange(len(nodes))]), np.concatenate([*found_b, label]), len(nodes))
