@@ -35,6 +35,7 @@ BLOCK_SHINGLES = 1 << 20  # a block's mean
 MESSAGE_HASHES = 500  # mean hashes in one message from a block to an owner
 SPARE_BITS = 12  # of a hash beyond those that number all shingles; fewer only blur the order
 CELL = 4  # texts of a shingle that meet by chance in a round
+SLICE = 256  # texts of a shingle that one task holds against the best of them
 ROUNDS = 2  # before what is still apart is compared pair by pair: they decide the cost, never the links
 
 
@@ -182,15 +183,19 @@ def _apart(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def _met(placed: DataFrame, round_: int) -> DataFrame:
     """Pairs (a, b) of a round: each text with the best of its key's texts (the one with the least of its own), those of
-    the best one's component with the best beyond it, and each with the best of a few drawn by hash."""
-    best = placed.groupBy("key").agg(F.max(F.struct("one", "root")).alias("best"))
-    beside = placed.join(best, "key")
-    second = beside.filter("root <> best.root").groupBy("key").agg(F.max("one").alias("two"))
+    the best one's component with the best beyond it, and each with the best of a few drawn by hash. A shingle's texts are
+    joined to their best in slices, and what is told of a shingle goes to each of its slices."""
+    slices = F.ceil(F.col("k") / SLICE)
+    placed = placed.withColumn("slice", F.pmod(F.xxhash64("one.node", F.lit("slice")), slices))
+    to_slices = lambda of_key: of_key.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("k")
+    best = placed.groupBy("key", "k").agg(F.max(F.struct("one", "root")).alias("best"))
+    beside = placed.join(to_slices(best), ["key", "slice"])
+    second = to_slices(beside.filter("root <> best.root").groupBy("key", "k").agg(F.max("one").alias("two")))
     cell = F.pmod(F.xxhash64("one.node", F.lit(round_)), F.ceil(F.col("k") / CELL))
     dealt = placed.withColumn("cell", cell)
     drawn = dealt.groupBy("key", "cell").agg(F.max(F.struct("one", "root")).alias("best"))
     near = lambda rows: _pairs(rows.filter("root <> best.root").withColumn("two", F.col("best.one")), "one", "two")
-    return near(beside).union(_pairs(beside.filter("root = best.root").join(second, "key"), "one", "two")).union(near(dealt.join(drawn, ["key", "cell"]))).distinct()
+    return near(beside).union(_pairs(beside.filter("root = best.root").join(second, ["key", "slice"]), "one", "two")).union(near(dealt.join(drawn, ["key", "cell"]))).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, most: int = 6) -> DataFrame:
