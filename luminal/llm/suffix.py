@@ -24,10 +24,14 @@ from luminal.llm import golomb
 from luminal.llm.common import cut, tasks
 
 BLOCK_BYTES = 4 << 20  # mean text of a block
+RANGE_BYTES = 32 << 20  # text that an owner or a range stands for at most, however few the shuffle partitions
+MOST_SAMPLE = 1 << 20  # suffixes that the driver chooses splitters from at most
 CHUNK = 1 << 17  # windows worked on at once
 FEW = 16  # suffixes of one k-gram that are compared pair by pair
 HOT = 2000  # anchors of one k-gram beyond which their windows are dealt out by hash instead
-SAMPLE = 64  # suffixes a range that splitters are chosen from
+SAMPLE = 64  # suffixes a range that splitters are chosen from; fewer a range where there are over MOST_SAMPLE in all
+LEAST_SAMPLE = 4
+RARE = 1024  # one k-gram of so many may be in the sample, by hash
 PRIME = 0x9E3779B97F4A7C15
 NO_ID = (1 << 63) - 1
 
@@ -261,8 +265,9 @@ def _blocked(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]
 def repeated_windows(docs: DataFrame, blocks: int, length: int, k: int) -> DataFrame:
     """docs (id, t, block) to (block, marks): windows (first, last start in the block) that also start earlier."""
     spark = docs.sparkSession
-    owners = max(1, min(blocks, tasks(spark)))
-    ranges = tasks(spark)
+    least = math.ceil(blocks * BLOCK_BYTES / RANGE_BYTES)
+    owners = max(1, least, min(blocks, tasks(spark)))
+    hashed = ranges = max(tasks(spark), min(least, MOST_SAMPLE // LEAST_SAMPLE))
     size = 2 * length - k + 2
     owner_of = lambda h: ((h >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
 
@@ -273,11 +278,10 @@ def repeated_windows(docs: DataFrame, blocks: int, length: int, k: int) -> DataF
         values, first, counts = np.unique(hashes, return_index=True, return_counts=True)
         cuts = np.searchsorted(owner_of(values), np.arange(owners + 1))
         rows = []
-        for o in range(owners):
+        for o in np.flatnonzero(np.diff(cuts)).tolist():
             s = slice(cuts[o], cuts[o + 1])
-            if cuts[o] < cuts[o + 1]:
-                grams = [block.bytes[a : a + k].tobytes() for a in at[first[s]][(values[s] & np.uint64(1023)) == 0].tolist()]
-                rows.append((name, o, golomb.encode(values[s]), zstandard.compress(np.minimum(counts[s], 65535).astype("<u2").tobytes(), 1), grams))
+            grams = [block.bytes[a : a + k].tobytes() for a in at[first[s]][values[s] % np.uint64(RARE) == 0].tolist()]
+            rows.append((name, o, golomb.encode(values[s]), zstandard.compress(np.minimum(counts[s], 65535).astype("<u2").tobytes(), 1), grams))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())), strict=True)], names=["block", "owner", "message", "counts", "grams"])
 
@@ -326,7 +330,7 @@ def repeated_windows(docs: DataFrame, blocks: int, length: int, k: int) -> DataF
             out.append(_rows(block=[name] * len(parts), part=[r for r, _ in parts], run=[front_code([flat[i] for i in p.tolist()], size) for _, p in parts], data=[pack(ids[p], places[p], at[p]) for _, p in parts]))
         if hot[order].any():
             repeats, windows = settle(windows_of(keys, order[hot[order]], low, high, ids, places, at, np.full(len(at), name), length))
-            owner = windows[0].view(np.uint64) % np.uint64(ranges)
+            owner = windows[0].view(np.uint64) % np.uint64(hashed)
             by = [(o, np.flatnonzero(owner == o)) for o in np.unique(owner)]
             out += [repeats, _rows(block=[name] * len(by), part=[o for o, _ in by], windows=[pack(*[w[i] for w in windows]) for _, i in by])]
         return pa.concat_tables(out)
@@ -384,9 +388,10 @@ def repeated_windows(docs: DataFrame, blocks: int, length: int, k: int) -> DataF
 
     asked = cut(docs.groupBy("block").applyInArrow(ask, "block long, owner int, message binary, counts binary, grams array<binary>"), "suffix-asked")
     # splitters of the ranges: a bounded sample, the least by hash
-    grams = asked.select(F.explode("grams").alias("g")).distinct().orderBy(F.xxhash64("g"), "g").limit(SAMPLE * ranges)
+    grams = asked.select(F.explode("grams").alias("g")).distinct().orderBy(F.xxhash64("g"), "g").limit(max(ranges, min(SAMPLE * ranges, MOST_SAMPLE)))
     sample = sorted(bytes(r.g) for r in grams.collect())
-    splitters = spark.sparkContext.broadcast([sample[i * len(sample) // ranges] for i in range(1, ranges)] if len(sample) >= ranges else [])
+    ranges = min(ranges, len(sample) + 1)
+    splitters = spark.sparkContext.broadcast([sample[i * len(sample) // ranges] for i in range(1, ranges)])
     answered = asked.select("block", "owner", "message", "counts").groupBy("owner").applyInPandas(answer, "block long, owner int, shared binary, hot binary")
     runs = cut(docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, OUT), "suffix-runs")
     merged = runs.filter("run is not null").groupBy("part").applyInArrow(combine, OUT)

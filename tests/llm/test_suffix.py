@@ -67,6 +67,15 @@ def test_large_groups_by_hash(spark, monkeypatch):
     assert check(spark, rows, 24, 8) == brute(rows, 24)
 
 
+def test_more_ranges_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffix, "RANGE_BYTES", 700)
+    monkeypatch.setattr(suffix, "MOST_SAMPLE", 200)
+    monkeypatch.setattr(suffix, "RARE", 8)
+    rows = corpus(6)
+    assert check(spark, rows, 24, 8) == brute(rows, 24)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.remove_repeats(df).collect() == []
