@@ -91,6 +91,13 @@ def op9_pii(spark, sf_dir):
     return pseudonymise(table(spark, sf_dir, "documents"), key)
 
 
+def op11_phrases(spark, sf_dir):
+    """The best 2,000 phrases of each language, over all documents."""
+    from luminal.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     """The five stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -98,7 +105,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_exact_dedup, op4_simhash, op5_suffix_dedup, op6_mixing, op7_token_counts, op8_quality, op9_pii, op10_fingerprints, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_exact_dedup, op4_simhash, op5_suffix_dedup, op6_mixing, op7_token_counts, op8_quality, op9_pii, op10_fingerprints, op11_phrases, pipeline)}
 
 #: A level of the template tree of op1: segment k of the rows of l<k-1>, and what becomes of it. SQL has eight levels.
 _LEVEL = """
@@ -146,4 +153,20 @@ ORACLE_SQL = {
         FROM s JOIN offs o ON s.skey = o.skey AND s.band = o.band AND s.salt = o.salt JOIN t ON s.skey = t.skey),
     q AS (SELECT *, (floor(i::BIGINT * rate + u) - floor((i::BIGINT - 1) * rate + u))::BIGINT AS copies FROM p)
     SELECT id AS doc_id, size, source_size, target, copies * size AS taken, copies FROM q""",
+    "op11_phrases": r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+    g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE len(ws) >= k),
+    c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
+    a AS (SELECT *, string_split(phrase, ' ') AS ws FROM c WHERE k > 1 AND f >= 10),
+    cuts AS (SELECT a.*, j, array_to_string(ws[1:j], ' ') AS p1, array_to_string(ws[j + 1:k], ' ') AS p2 FROM a, (VALUES (1), (2)) AS t(j) WHERE j < k),
+    s AS (SELECT x.lang, x.phrase, x.k, x.f AS a, j, l.f AS l, r.f AS r, (1000000::HUGEINT * x.f * x.f // (l.f::HUGEINT * r.f))::BIGINT AS score
+        FROM cuts x JOIN c l ON l.lang = x.lang AND l.phrase = p1 JOIN c r ON r.lang = x.lang AND r.phrase = p2),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    i AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, f FROM a WHERE k = 3),
+    o AS (SELECT lang, phrase, max(f) AS longest FROM i GROUP BY ALL),
+    q AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.longest IS NULL OR 100 * o.longest < 50 * b.a)
+    SELECT q.lang, row_number() OVER (PARTITION BY q.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM q JOIN n ON n.lang = q.lang QUALIFY rank <= 2000""",
 }
