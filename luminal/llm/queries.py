@@ -98,6 +98,15 @@ def op11_phrases(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_periods(spark, sf_dir):
+    """Every document, one in ten with a stretch of its words repeated to the end, with its periodic runs."""
+    from pyspark.sql import functions as F
+
+    from luminal.llm.periods import digests, periodic_runs, planted
+
+    return digests(periodic_runs(table(spark, sf_dir, "documents"), planted(F.col("text"), F.col("doc_id"))))
+
+
 def pipeline(spark, sf_dir):
     """The five stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -105,7 +114,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_exact_dedup, op4_simhash, op5_suffix_dedup, op6_mixing, op7_token_counts, op8_quality, op9_pii, op10_fingerprints, op11_phrases, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_exact_dedup, op4_simhash, op5_suffix_dedup, op6_mixing, op7_token_counts, op8_quality, op9_pii, op10_fingerprints, op11_phrases, op12_periods, pipeline)}
 
 #: A level of the template tree of op1: segment k of the rows of l<k-1>, and what becomes of it. SQL has eight levels.
 _LEVEL = """
@@ -169,4 +178,20 @@ ORACLE_SQL = {
     q AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.longest IS NULL OR 100 * o.longest < 50 * b.a)
     SELECT q.lang, row_number() OVER (PARTITION BY q.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
     FROM q JOIN n ON n.lang = q.lang QUALIFY rank <= 2000""",
+    "op12_periods": r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ow FROM documents),
+    h AS (SELECT *, len(ow) AS n, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))) AS h FROM d),
+    g AS (SELECT *, (h // 10) % greatest(n, 1) AS a, 1 + (n - (h // 10) % greatest(n, 1)) // (3 + (h // 10) % 8) AS p FROM h),
+    w AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ow[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) ELSE ow END AS ws FROM g),
+    e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS n FROM w),
+    m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    t AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM m),
+    s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM t GROUP BY doc_id, q, stretch HAVING count(*) + q >= greatest(6, 4 * q)),
+    r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+    o AS (SELECT doc_id, count(*) AS n_runs, arg_min((start, length, period), (-length, start, period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+    k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = e.doc_id AND e.i >= r.start + r.period AND e.i < r.start + r.length) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period, 1000 * best[2] // best[3] AS exponent_milli,
+        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+    FROM d LEFT JOIN o USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }
