@@ -107,6 +107,13 @@ def op12_periods(spark, sf_dir):
     return digests(periodic_runs(table(spark, sf_dir, "documents"), planted(F.col("text"), F.col("doc_id"))))
 
 
+def op13_html(spark, sf_dir):
+    """The main text of every page."""
+    from luminal.llm.html import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def pipeline(spark, sf_dir):
     """The five stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -114,7 +121,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_exact_dedup, op4_simhash, op5_suffix_dedup, op6_mixing, op7_token_counts, op8_quality, op9_pii, op10_fingerprints, op11_phrases, op12_periods, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_exact_dedup, op4_simhash, op5_suffix_dedup, op6_mixing, op7_token_counts, op8_quality, op9_pii, op10_fingerprints, op11_phrases, op12_periods, op13_html, pipeline)}
 
 #: A level of the template tree of op1: segment k of the rows of l<k-1>, and what becomes of it. SQL has eight levels.
 _LEVEL = """
