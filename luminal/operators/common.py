@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CENTER = (0.0, 1.6, -3.0)
 AXES = ("x", "y", "z")
+HOT_SHARE, HOT_LEAST = 1000, 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut, and the sums of counts over the rows, taken while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.sum(c.cast("long")).alias(k) for k, c in counts.items()]), label)
+    return out, {k: v or 0 for k, v in seen.get.items()}
+
+
 def ordinal(df: DataFrame, *order: Column | str, by: list[str] | None = None, name: str = "ord", count: str | None = None) -> DataFrame:
     """df with the place (from 0) of each row in order, which must end with a unique key; count: also of how many.
 
@@ -61,6 +69,33 @@ def ordinal(df: DataFrame, *order: Column | str, by: list[str] | None = None, na
     return out.drop("_o_at", "_o_part", "_o_n", "_o_before", "_o_all")
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", n: int | None = None) -> DataFrame:
+    """left joined (inner or left) to right, which has a row at most for each key. Keys that have more than one in HOT_SHARE
+    of left's rows, of which there are fewer than that, meet right by a broadcast of their rows, so that no task gets
+    them all; the others are shuffled. Below HOT_LEAST rows of left no key can fill a task, and the join is a plain one. n:
+    the rows of left, if they are known."""
+    n = left.count() if n is None else n
+    if n < HOT_LEAST:
+        return left.join(right, on, how)
+    heavy = left.groupBy(*on).count().filter(F.col("count") * HOT_SHARE > n).select(*on)
+    heavy = cut(heavy.withColumn("_hot", F.lit(True)), "hot-keys")
+    met = cut(right.join(F.broadcast(heavy), on), "hot-rows").drop("_hot")
+    split = left.join(F.broadcast(heavy), on, "left")
+    hot = split.filter("_hot").drop("_hot").join(F.broadcast(met), on, how)
+    return hot.unionByName(split.filter("_hot is null").drop("_hot").join(right, on, how))
+
+
+def ranked(df: DataFrame, by: list[str], *order: Column | str, name: str = "rank", count: str | None = None) -> DataFrame:
+    """df with the place (from 0) of each row among those of its group, and how many those are. One order over all rows
+    and a group's first place in it: a group may hold most rows, and no task sees all of it. Groups by null too."""
+    rows = ordinal(df, *by, *order, name="_r_at").withColumn("_r_key", F.struct(*by))
+    firsts = rows.groupBy("_r_key").agg(F.min("_r_at").alias("_r_first"), F.count("*").alias("_r_n"))
+    out = join_hot(rows, firsts, ["_r_key"]).withColumn(name, F.col("_r_at") - F.col("_r_first"))
+    if count:
+        out = out.withColumn(count, F.col("_r_n"))
+    return out.select(*df.columns, *[c for c in (name, count) if c])
+
+
 def total_range(df: DataFrame, **columns: Column) -> DataFrame:
     """One row of aggregates, to be joined to every row of df: what an automatic domain needs."""
     return df.agg(*[c.alias(k) for k, c in columns.items()])

@@ -69,6 +69,27 @@ def layout_polar_tree(region, nation, supplier):
     return layouts.calculate_positions(tree_rows(region, nation, supplier), "tree", ["id"]).select("id", r6("x", 5).alias("x"), r6("z", 5).alias("z"))
 
 
+def _forest(name, children, of):
+    """SQL of a level of the tidy tree: the children of each parent side by side, and what they look like from above."""
+    shift = "list_max(list_transform(range(1, least(len(a.r), len(b.l)) + 1), lambda i: a.r[i] - b.l[i] + CASE WHEN i = 1 THEN 1.0 ELSE 2.0 END))"
+    both = "list_concat(a.l, list_transform(b.l[len(a.l) + 1:], lambda v: v + s)) AS l, list_concat(list_transform(b.r, lambda v: v + s), a.r[len(b.r) + 1:]) AS r"
+    merge = f"list_transform([{shift}], lambda s: struct_pack(l := {both.split(' AS l, ')[0]}, r := {both.split(' AS l, ')[1].removesuffix(' AS r')}, o := list_append(a.o, s)))[1]"
+    return f"""
+    {name}_all AS (SELECT parent, list(id ORDER BY id) AS ids, list_reduce(list(struct_pack(l := l, r := r, o := [0.0::DOUBLE]) ORDER BY id), lambda a, b: {merge}) AS f FROM {children} GROUP BY parent),
+    {name}_at AS (SELECT parent, unnest(ids) AS id, unnest(f.o) - f.o[-1] / 2 AS x FROM {name}_all),
+    {name} AS (SELECT t.id, t.parent, list_concat([0.0::DOUBLE], list_transform(coalesce(f.l, []), lambda v: v - f.o[-1] / 2)) AS l, list_concat([0.0::DOUBLE], list_transform(coalesce(f.r, []), lambda v: v - f.o[-1] / 2)) AS r
+        FROM t LEFT JOIN {name}_all k ON k.parent = t.id WHERE t.id LIKE '{of}%'),"""
+
+
+@query("region", "nation", "supplier", sql=TREE + ", s0 AS (SELECT id, parent, [0.0::DOUBLE] AS l, [0.0::DOUBLE] AS r FROM t WHERE id LIKE 's%')," + _forest("n1", "s0", "n") + _forest("r1", "n1", "r") + _forest("w1", "r1", "world") + """
+    p AS (SELECT 'world' AS id, 0 AS depth, 0.0::DOUBLE AS x), q AS (SELECT w.id, 1 AS depth, p.x + w.x AS x FROM w1_at w JOIN p ON p.id = w.parent), u AS (SELECT w.id, 2 AS depth, q.x + w.x AS x FROM r1_at w JOIN q ON q.id = w.parent),
+    v AS (SELECT w.id, 3 AS depth, u.x + w.x AS x FROM n1_at w JOIN u ON u.id = w.parent), a AS (FROM p UNION ALL FROM q UNION ALL FROM u UNION ALL FROM v), e AS (SELECT min(x) AS lo, max(x) AS hi, max(depth) AS deep FROM a)
+    SELECT id, depth, round((x - lo + 0.5) * 10 / (hi - lo + 1), 6) + 0.0 AS x, depth * 2.0::DOUBLE AS y, round(depth * 10.0 / deep, 6) AS z FROM a, e""")
+def layout_tidy_tree(region, nation, supplier):
+    d = trees.tidy_tree(tree_rows(region, nation, supplier), level=2.0, size=(10.0, 10.0))
+    return d.select("id", "depth", r6("x").alias("x"), "y", r6("z").alias("z"))
+
+
 @query("embeddings", sql=f"SELECT a.id, b.id AS id2, round({D3}, 6) AS distance FROM {POINTS} a JOIN {POINTS} b ON a.id < b.id AND {D3} <= 0.05")
 def rips_edges(embeddings):
     return spatial.close_pairs(points(embeddings), 0.05).select("id", "id2", F.round("distance", 6).alias("distance"))
