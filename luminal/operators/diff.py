@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from luminal.operators.common import cut, ordinal
+
 
 def diff(old: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
     """id, op (add, update, remove) and the new row's columns. Rows are compared column by column, null-safe."""
@@ -41,3 +43,27 @@ def encode_deltas(changes: DataFrame, size: int = 100, order: str = "id") -> Dat
     out = d.groupBy("op", "_shard", "_batch").agg(F.count("*").alias("n"), rows.alias("_rows"))
     payload = F.concat(F.lit("["), F.array_join(F.transform("_rows", lambda r: r["_j"]), ","), F.lit("]"))
     return out.select("op", F.concat_ws("-", "_shard", "_batch").alias("batch"), "n", payload.alias("payload"), F.sha2(payload, 256).alias("checksum"))
+
+
+#: What the operations are called in messages, in the order in which they are sent; fixed values.
+MESSAGE_TYPES = {"add": "batch", "move": "update", "update": "update", "remove": "delete", "delete": "delete"}
+
+
+def delta_messages(changes: DataFrame, size: int = 100, seq: str = "seq", first: int = 1, at=None) -> DataFrame:
+    """Messages of up to size changes of one type: sequence (gapless from first), type, timestamp (at), n, payload (a
+    JSON array of the changes in order of seq) and checksum (SHA-256 of the payload). Additions come first, then updates
+    and moves, then removals, each in order of seq, which no two changes share. Changes of other operations are left out."""
+    kinds = F.create_map(*[F.lit(v) for kv in MESSAGE_TYPES.items() for v in kv])
+    order = F.create_map(*[F.lit(v) for i, k in enumerate(dict.fromkeys(MESSAGE_TYPES.values())) for v in (k, i)])
+    rows = changes.withColumn("_type", kinds[F.col("op")]).filter("_type is not null").withColumn("_order", order[F.col("_type")])
+    rows = cut(ordinal(rows, "_order", seq, name="_place"), "delta-messages")
+    # three rows: where each type starts among the changes and among the messages
+    w = W.orderBy("_order")
+    starts = rows.groupBy("_order").agg(F.min("_place").alias("_from"), F.ceil(F.count("*") / size).alias("_m"))
+    starts = starts.select("_order", "_from", (F.coalesce(F.sum("_m").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + first).alias("_first"))
+    rows = rows.join(F.broadcast(starts), "_order")
+    rows = rows.withColumn("sequence", (F.col("_first") + F.floor((F.col("_place") - F.col("_from")) / size)).cast("long"))
+    each = F.array_sort(F.collect_list(F.struct(seq, F.to_json(F.struct(*changes.columns)).alias("_j"))))
+    out = rows.groupBy("sequence", F.col("_type").alias("type")).agg(F.count("*").alias("n"), each.alias("_rows"))
+    payload = F.concat(F.lit("["), F.array_join(F.transform("_rows", lambda r: r["_j"]), ","), F.lit("]"))
+    return out.select("sequence", "type", F.lit(at).cast("timestamp").alias("timestamp"), "n", payload.alias("payload"), F.sha2(payload, 256).alias("checksum"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from luminal.functions.predicates import condition
-from luminal.operators import diff as changes
+from luminal.streaming.changelog import ChangeLog
 
 MESSAGE = "type string, data struct<id:string,value:double,timestamp:string>"
 
@@ -104,14 +104,11 @@ def publish(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: s
 
 
 def apply_feed(path: str, id_col: str = "id") -> Callable[[DataFrame, int], None]:
-    """A sink that keeps a Parquet table current: version b of it is version b-1 after the changes of micro-batch b
-    (id, op, seq, columns). A batch that is run again writes the same version again."""
+    """A sink that keeps the table of a change log at path current: each micro-batch of changes (id, op, seq, columns) is
+    written as a delta, and a batch that is run again changes nothing. changelog.ChangeLog(spark, path).table() reads it."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        now = spark.read.parquet(f"{path}/v={epoch - 1}") if epoch else None
-        base = now if now is not None else batch.drop("op", "seq").limit(0)
-        changes.apply(base, batch, id_col).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        ChangeLog(batch.sparkSession, path, id_col).append(batch, source="feed", epoch=epoch)
 
     return sink
 
