@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from luminal.operators.common import with_totals
+from luminal.operators.common import cut, with_totals
 
 
 def group_records(df: DataFrame, key: str | Column, order: str) -> DataFrame:
@@ -105,15 +107,39 @@ def mapper_graph(points: DataFrame, lens: str, intervals: int, overlap: float, c
     return nodes, edges
 
 
-def terrain(points: DataFrame, size: int, cell: float, reach: float, scale: float = 1.0) -> DataFrame:
-    """gx, gz, height over a grid of size by size cells: log(1 + sum exp(-2 d)) of the points (x, z) within reach, which
-    makes each point meet a bounded number of cells; what lies further off would add less than exp(-2 reach)."""
-    n = int(reach // cell) + 1
-    near = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col(c) / cell).cast("int") - n), F.least(F.lit(size - 1), F.floor(F.col(c) / cell).cast("int") + n)))
-    inside = points.filter((F.col("x") >= -reach) & (F.col("x") < size * cell + reach) & (F.col("z") >= -reach) & (F.col("z") < size * cell + reach))
-    met = inside.withColumn("gx", near("x")).withColumn("gz", near("z"))
-    d = F.sqrt((F.col("x") - F.col("gx") * cell) * (F.col("x") - F.col("gx") * cell) + (F.col("z") - F.col("gz") * cell) * (F.col("z") - F.col("gz") * cell))
-    return met.withColumn("_d", d).filter(F.col("_d") <= reach).groupBy("gx", "gz").agg((F.ln(F.sum(F.exp(F.col("_d") * -2)) + 1) * scale).alias("height"))
+def terrain(points: DataFrame, size: int, cell: float, scale: float = 1.0, error: float = 1e-6) -> DataFrame:
+    """gx, gz, height of every place of a grid of size by size cells: log(1 + sum of exp(-2 d)) over all points (x, z),
+    wherever they lie; without points, 0. Points without a place, or with one that is not finite, are left out.
+
+    What is far counts by cells, at their points' mean place. A point that counts so is at a distance at which it adds at
+    most error, so the sum is off by at most error for each point, and in practice by far less."""
+    from math import ceil, log
+
+    from luminal.operators import multipole
+
+    axes = ["x", "z"]
+    sound = points.select(*[F.col(a).cast("double").alias(a) for a in axes]).filter(" and ".join(f"{a} is not null and not isnan({a}) and abs({a}) < double('Infinity')" for a in axes))
+    # one row for each place: copies of a place are one point with a weight
+    sound = cut(sound.groupBy(*axes).agg(F.count("*").cast("double").alias("n")), "terrain-points")
+    grid = points.sparkSession.range(size * size).select(F.floor(F.col("id") / size).cast("int").alias("gx"), (F.col("id") % size).cast("int").alias("gz"))
+    targets = grid.withColumns({"x": F.col("gx") * cell, "z": F.col("gz") * cell})
+    ends = sound.agg(*[f(a).alias(f"{k}{a}") for a in axes for f, k in ((F.min, "low"), (F.max, "high"))]).first()
+    if ends.lowx is None:
+        return grid.withColumn("height", F.lit(0.0))
+    low = [min(0.0, ends[f"low{a}"]) for a in axes]
+    extent = max(max(size * cell, ends[f"high{a}"]) - o for a, o in zip(axes, low, strict=True))
+    reach = log(1 / error) / 2
+    levels = multipole.levels_for(extent, cell)
+    m = [max(1, ceil(reach / (cell * 2**k))) for k in range(levels + 2)]
+    near = multipole.near_pairs(targets, sound, axes, low, cell, m[0])
+    d = lambda px, pz: F.sqrt((F.col("x") - px) * (F.col("x") - px) + (F.col("z") - pz) * (F.col("z") - pz))
+    parts = [near.select("gx", "gz", (F.col("p_n") * F.exp(d(F.col("p_x"), F.col("p_z")) * -2)).alias("h"))]
+    cells = multipole.pyramid(sound, axes, low, cell, levels, {"n": F.col("n"), "sx": F.col("n") * F.col("x"), "sz": F.col("n") * F.col("z")})
+    for level, some in enumerate(cells):
+        far = multipole.far_pairs(targets, some, axes, low, cell, level, m)
+        parts.append(far.select("gx", "gz", (F.col("p_n") * F.exp(d(F.col("p_sx") / F.col("p_n"), F.col("p_sz") / F.col("p_n")) * -2)).alias("h")))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("gx", "gz").agg(F.sum("h").alias("h"))
+    return grid.join(sums, ["gx", "gz"], "left").select("gx", "gz", (F.log1p(F.coalesce("h", F.lit(0.0))) * scale).alias("height"))
 
 
 def kmeans(df: DataFrame, vector: str, k: int = 5, iterations: int = 20, seed: int = 42, dims: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from luminal.functions.scales import piecewise
 from luminal.functions.vectors import cross, distance, unit
+from luminal.operators import multipole
 from luminal.operators.common import cut
 from luminal.operators.mapping import lookup
 from luminal.operators.spatial import close_pairs
@@ -189,6 +191,63 @@ def spring_forces(edges: DataFrame, nodes: DataFrame, length: float, strength: f
     return one.unionByName(two).groupBy("id").agg(*[F.sum("f" + a).alias("f" + a) for a in "xyz"])
 
 
+def spring_network(nodes: DataFrame, rest: float, stiffness: float, leaf: int = 64, m: int = 3, soft: float = 0.01) -> DataFrame:
+    """id, fx, fy, fz: every node (id, x, y, z) is tied to every other by a spring of length rest: stiffness * (d - rest)
+    along the line between them, d being their distance plus soft.
+
+    No pairs are made of what is far. The pull of springs without length is a sum over all nodes, exactly; what rest takes
+    off it is a sum of directions, which are added one by one between near nodes (within m cells), and beyond by cells:
+    from their mean place, and from the spread about it to the second order, so that what is left is of the third order of
+    cell size over distance, at most about (0.87 / m)^3 of a direction. Cells are halved until none holds more than leaf
+    places. Nodes in one place do not push one another. Nodes without a finite place are left out."""
+    axes = ["x", "y", "z"]
+    sound = nodes.select("id", *[F.col(a).cast("double").alias(a) for a in axes]).filter(" and ".join(f"{a} is not null and not isnan({a}) and abs({a}) < double('Infinity')" for a in axes))
+    sound = cut(sound, "springs")
+    places = cut(sound.groupBy(*axes).agg(F.count("*").cast("double").alias("n")), "spring-places")
+    row = places.agg(F.sum("n").alias("n"), *[f(a).alias(f"{k}{a}") for a in axes for f, k in ((F.min, "low"), (F.max, "high"))], *[F.sum(F.col(a) * F.col("n")).alias(f"sum{a}") for a in axes]).first()
+    none = sound.select("id", *[F.lit(0.0).alias(f"f{a}") for a in axes])
+    if row.n is None:
+        return none
+    low = [row[f"low{a}"] for a in axes]
+    extent = max(row[f"high{a}"] - o for a, o in zip(axes, low, strict=True)) or 1.0
+    depth = 0
+    while depth < 40:  # a place is one point, so cells that are small enough hold few
+        side = extent / 2**depth
+        if places.groupBy(*[F.floor((F.col(a) - o) / side).alias(a) for a, o in zip(axes, low, strict=True)]).count().agg(F.max("count").alias("c")).first().c <= leaf:
+            break
+        depth += 1
+    side, levels = extent / 2**depth, depth + 1
+    targets = places.select(*axes)
+    ms = [m] * (levels + 2)
+
+    def directions(pairs: DataFrame, center: list[Column], n: Column, spread: dict | None = None) -> DataFrame:
+        u = [c - F.col(a) for a, c in zip(axes, center, strict=True)]
+        pairs = pairs.withColumns({f"_u{i}": c for i, c in enumerate(u)})
+        u = [F.col(f"_u{i}") for i in range(3)]
+        pairs = pairs.withColumn("_r", F.sqrt(u[0] * u[0] + u[1] * u[1] + u[2] * u[2]))
+        r = F.col("_r")
+        g = 1 / (r + soft)
+        out = [c * g * n for c in u]
+        if spread:  # g1 and g2 are the derivatives of 1 / (r + soft)
+            g1, g2 = -g * g, 2 * g * g * g
+            mu = [sum((spread[min(i, j), max(i, j)] * u[j] for j in range(3)), F.lit(0.0)) for i in range(3)]
+            umu, trace = sum((a * b for a, b in zip(u, mu, strict=True)), F.lit(0.0)), spread[0, 0] + spread[1, 1] + spread[2, 2]
+            out = [o + 0.5 * (2 * g1 / r * v + c * ((g2 / (r * r) - g1 / (r * r * r)) * umu + g1 / r * trace)) for o, v, c in zip(out, mu, u, strict=True)]
+        return pairs.select(*axes, *[o.alias(f"d{a}") for o, a in zip(out, axes, strict=True)])
+
+    near = multipole.near_pairs(targets, places, axes, low, side, m)
+    parts = [directions(near, [F.col(f"p_{a}") for a in axes], F.col("p_n"))]
+    n = F.col("n")
+    sums = {"n": n} | {f"s{a}": n * F.col(a) for a in axes} | {f"m{i}{j}": n * (F.col(axes[i]) - low[i]) * (F.col(axes[j]) - low[j]) for i in range(3) for j in range(i, 3)}
+    for level, some in enumerate(multipole.pyramid(places, axes, low, side, levels, sums)):
+        center = [F.col(f"p_s{a}") / F.col("p_n") for a in axes]
+        spread = {(i, j): F.col(f"p_m{i}{j}") - F.col("p_n") * (center[i] - low[i]) * (center[j] - low[j]) for i in range(3) for j in range(i, 3)}
+        parts.append(directions(multipole.far_pairs(targets, some, axes, low, side, level, ms), center, F.col("p_n"), spread))
+    total = reduce(DataFrame.unionByName, parts).groupBy(*axes).agg(*[F.sum(f"d{a}").alias(f"d{a}") for a in axes])
+    pull = [(stiffness * (F.lit(row[f"sum{a}"]) - row.n * F.col(a)) - stiffness * rest * F.col(f"d{a}")).alias(f"f{a}") for a in axes]
+    return sound.join(total, axes).select("id", *pull)
+
+
 def collisions(points: DataFrame, reach: float) -> DataFrame:
     """Pairs id < id2 of points (id, x, y, z, radius) that overlap; reach is the largest sum of two radii."""
     r = points.select("id", "radius")

@@ -86,6 +86,31 @@ def fixations(gaze: DataFrame, by: list[str], time_ms: str = "ts_ms", window_ms:
     return gaze.withColumns({"span": span, "center_yaw": F.avg("yaw").over(w), "center_pitch": F.avg("pitch").over(w)}).filter(F.col("span") < spread)
 
 
+def uncertainty_field(series: DataFrame, by: list[str], center, window: float, samples: int = 10, seed: int = 42, time: str = "ts", value: str = "value") -> DataFrame:
+    """by, sample, time, value, probability: the series at samples times within window (seconds, or units of a numeric
+    time) of center, drawn evenly by the seed alone and alike for all series, each as likely as it is near to the center
+    (1 - |offset| / window). All samples of all series are looked up in one as-of pass; between rows the value is the
+    line's. A series without rows of that time has none; null times and values count for nothing."""
+    spark = series.sparkSession
+    kind = dict(series.dtypes)[time]
+    draw = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.col("id"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    at = spark.range(samples).select((F.col("id") + 1).alias("sample"), ((draw - 0.5) * 2 * window).alias("_offset"))
+    middle = F.lit(center).cast(kind)
+    moved = F.timestamp_micros(F.unix_micros(middle.cast("timestamp")) + F.round(F.col("_offset") * 1e6).cast("long")).cast(kind) if kind.startswith("timestamp") else (middle + F.col("_offset")).cast(kind)
+    at = at.select("sample", moved.alias(time), (1 - F.abs("_offset") / window).alias("probability"))
+    sound = series.filter(F.col(value).isNotNull())
+    probes = sound.select(*by).distinct().join(F.broadcast(at), F.lit(True))
+    return lerp_asof(probes, sound.select(*by, time, value), by, time, value).select(*by, "sample", time, value, "probability").filter(F.col(value).isNotNull())
+
+
+def expected_value(field: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """by, expected, spread: the mean of an uncertainty field by probability, and the deviation from it."""
+    p, v = F.col("probability"), F.col(value).cast("double")
+    sums = field.groupBy(*by).agg(F.sum(p).alias("_p"), F.sum(p * v).alias("_pv"), F.sum(p * v * v).alias("_pvv"))
+    mean = F.try_divide("_pv", "_p")
+    return sums.select(*by, mean.alias("expected"), F.sqrt(F.greatest(F.lit(0.0), F.try_divide("_pvv", "_p") - mean * mean)).alias("spread"))
+
+
 def snapshot_stats(df: DataFrame, time: str = "ts", node: str = "id") -> DataFrame:
     return df.agg(F.count_distinct(time).alias("snapshots"), F.count_distinct(node).alias("nodes"), F.min(time).alias("first"), F.max(time).alias("last"))
 

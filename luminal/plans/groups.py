@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from luminal.operators import aggregates, series, temporal
+from luminal.operators import aggregates, domains, series, temporal
 from luminal.plans.book import query, r6
 from luminal.plans.joins import points
 
@@ -186,7 +186,32 @@ def fixations(events):
 @query("customer", sql="""
     WITH p AS (SELECT c_custkey % 40 * 0.5 AS x, (c_acctbal + 1000) / 550 AS z FROM customer), g AS (SELECT a.i AS gx, b.i AS gz FROM range(20) a(i), range(20) b(i)),
     d AS (SELECT gx, gz, sqrt((x - gx) * (x - gx) + (z - gz) * (z - gz)) AS d FROM p, g)
-    SELECT gx::INT AS gx, gz::INT AS gz, round(ln(sum(exp(d * -2)) + 1), 6) + 0.0 AS height FROM d WHERE d <= 3 GROUP BY ALL""")
+    SELECT gx::INT AS gx, gz::INT AS gz, round(ln(sum(exp(d * -2)) + 1), 5) + 0.0 AS height FROM d GROUP BY ALL""")
 def terrain(customer):
     p = customer.select((F.col("c_custkey") % 40 * 0.5).alias("x"), ((F.col("c_acctbal") + 1000) / 550).alias("z"))
-    return aggregates.terrain(p, 20, 1.0, 3.0).select("gx", "gz", r6("height").alias("height"))
+    return aggregates.terrain(p, 20, 1.0, error=1e-12).select("gx", "gz", r6("height", 5).alias("height"))
+
+
+@query("events", sql="""
+    WITH e AS (SELECT user_id, ts, min(value) AS value FROM events WHERE value IS NOT NULL GROUP BY ALL),
+    s AS (SELECT i + 1 AS sample, (('0x' || substr(md5('7/' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5) * 2 * 432000.0::DOUBLE AS o FROM range(40) r(i)),
+    p AS (SELECT u.user_id, sample, make_timestamp(epoch_us(TIMESTAMP '2024-01-15') + round(o * 1e6)::BIGINT) AS ts, 1 - abs(o) / 432000.0 AS probability FROM (SELECT DISTINCT user_id FROM e) u, s),
+    b AS (SELECT p.*, e.ts AS t1, e.value AS v1 FROM p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.ts >= e.ts), c AS (SELECT b.*, e.ts AS t2, e.value AS v2 FROM b ASOF LEFT JOIN e ON b.user_id = e.user_id AND b.ts <= e.ts),
+    v AS (SELECT user_id, probability AS p, CASE WHEN t1 IS NULL THEN v2 WHEN t2 IS NULL THEN v1 WHEN t1 = t2 THEN v1 ELSE v1 + (v2 - v1) * (epoch_us(ts) - epoch_us(t1)) / (epoch_us(t2) - epoch_us(t1))::DOUBLE END AS value FROM c)
+    SELECT user_id, round(sum(p * value) / sum(p), 4) AS expected, round(sqrt(greatest(0, sum(p * value * value) / sum(p) - pow(sum(p * value) / sum(p), 2))), 3) AS spread FROM v GROUP BY user_id""")
+def weighted_samples(events):
+    """What the value of each user is about the middle of the month, by forty weighted samples of ten days."""
+    e = events.filter("value is not null").groupBy("user_id", "ts").agg(F.min("value").alias("value"))
+    field = temporal.uncertainty_field(e, ["user_id"], "2024-01-15 00:00:00", 432_000.0, samples=40, seed=7)
+    return temporal.expected_value(field, ["user_id"]).select("user_id", F.round("expected", 4).alias("expected"), F.round("spread", 3).alias("spread"))
+
+
+@query("supplier", sql="""
+    WITH n AS (SELECT s_suppkey AS id, (s_suppkey % 10)::DOUBLE AS x, (s_nationkey)::DOUBLE AS y, s_acctbal / 1000 AS z FROM supplier),
+    d AS (SELECT a.id, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) + 0.01 AS d FROM n a, n b)
+    SELECT id, round(sum(dx * 0.1 * (d - 2) / d) / 10, 2) + 0.0 AS fx, round(sum(dy * 0.1 * (d - 2) / d) / 10, 2) + 0.0 AS fy, round(sum(dz * 0.1 * (d - 2) / d) / 10, 2) + 0.0 AS fz FROM d GROUP BY id""")
+def spring_network(supplier):
+    """Every supplier tied to every other; the table is small enough here that most cells are near."""
+    nodes = supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 10).cast("double").alias("x"), F.col("s_nationkey").cast("double").alias("y"), (F.col("s_acctbal") / 1000).alias("z"))
+    d = domains.spring_network(nodes, 2.0, 0.1)
+    return d.select("id", *[r6(F.col(c) / 10, 2).alias(c) for c in ("fx", "fy", "fz")])
