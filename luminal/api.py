@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +46,42 @@ def preset(spark: SparkSession, name: str, data, **options) -> DataFrame:
     return quick_start(spark, data, **(PRESETS[name] | options))
 
 
-def create(spec: dict, df: DataFrame, order: list, layout: str | None = None, **options) -> DataFrame:
+#: What stands where there is neither a spec nor data.
+DEFAULT_SPEC = {"id": "default", "geometry": {"type": "octahedron", "radius": 1}, "material": {"properties": {"color": "#00d4aa"}}}
+DEFAULT_RECORD = {"value": 42, "label": "Default"}
+
+
+def load_spec(spec: dict | str | None = None) -> dict:
+    """A spec as it is or as JSON; the default one if there is none. JSON that cannot be read is an error."""
+    if not spec:
+        return DEFAULT_SPEC
+    if isinstance(spec, dict):
+        return spec
+    try:
+        return json.loads(spec)
+    except ValueError as e:
+        raise ValueError(f"Invalid JSON in spec: {e}") from None
+
+
+def load_data(spark: SparkSession, data=None) -> DataFrame:
+    """Records of what records.load reads, or of JSON with or without an envelope; one default record if there is none."""
+    if data is None or data == "":
+        return load(spark, [DEFAULT_RECORD])
+    if isinstance(data, str) and data.lstrip()[:1] in ("{", "["):
+        try:
+            found = json.loads(data)
+        except ValueError as e:
+            raise ValueError(f"Invalid JSON in dataset: {e}") from None
+        while isinstance(found, dict):
+            inner = next((found[k] for k in ("records", "nodes", "data") if found.get(k) is not None), None)
+            found = [found] if inner is None else inner
+        return load(spark, found)
+    return load(spark, data)
+
+
+def create(spec: dict | str | None, df: DataFrame, order: list, layout: str | None = None, **options) -> DataFrame:
     """Records placed by the spec's layout, with its transforms and materials as columns."""
+    spec = load_spec(spec)
     validate_spec(spec)
     t = spec.get("transform") or {}
     name = layout or ((t.get("position") or {}).get("$layout")) or "grid"
@@ -77,6 +113,30 @@ class Engine:
         self.selected = F.coalesce(compile_query(criteria), F.lit(False))
         return self.datasets.get().withColumn("selected", self.selected)
 
+    def query(self, form: dict) -> DataFrame:
+        """{table, where, order_by, limit} over the datasets by name."""
+        from luminal.functions.predicates import query_table
+
+        return query_table(self.datasets, form)
+
+    def export(self, path: str, **settings) -> int:
+        """A snapshot of all datasets, the current one's name and settings; see sources.state."""
+        from luminal.sources.state import export_state
+
+        spark = self.datasets.spark
+        return export_state(spark, path, {n: spark.table(n) for n in sorted(self.datasets.names)}, {"current": self.datasets.current, **settings})
+
+    def restore(self, path: str, number: int | None = None) -> dict:
+        """The datasets of a snapshot, the last one by default, become this engine's; gives the settings."""
+        from luminal.sources.state import restore_state
+
+        datasets, settings = restore_state(self.datasets.spark, path, number)
+        for name, df in datasets.items():
+            self.datasets.load(name, df)
+        if settings.get("current"):
+            self.datasets.switch(settings["current"])
+        return settings
+
     def stats(self) -> dict:
         from luminal.operators.aggregates import stats
 

@@ -37,6 +37,30 @@ def planet_position(t: Column, a, e, period, steps: int = 5) -> dict[str, Column
     return {"x": r * F.cos(nu), "y": r * F.sin(nu), "z": F.lit(0.0), "distance": r, "true_anomaly": nu}
 
 
+def solar_system(t: Column) -> Column:
+    """All planets at t years, as an array of (planet, x, y, z, distance, size, color) in their order from the sun."""
+    each = []
+    for name, (a, e, period, size, color) in PLANETS.items():
+        p = planet_position(t, F.lit(a), F.lit(e), F.lit(period))
+        each.append(F.struct(F.lit(name).alias("planet"), *[p[k].alias(k) for k in ("x", "y", "z", "distance")], F.lit(float(size)).alias("size"), F.lit(color).alias("color")))
+    return F.array(*each)
+
+
+def trajectory(a: Column, key: Column, start_days: Column, seed: int = 42, days: int = 365, every: int = 10) -> Column:
+    """The way of a body along an orbit of semi-major axis a (1.5 if null or 0) as an array of (time, x, y, z, distance),
+    every so many days from start_days: 37 points over a year. Eccentricity (0.3 to 0.7) and inclination (15 degrees
+    either way) are drawn by key and seed; the period is by Kepler's third law."""
+    axis = F.when(F.coalesce(a, F.lit(0.0)) != 0, a).otherwise(1.5).cast("double")
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), key, F.lit(k))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    e, inclination, period = 0.3 + draw(0) * 0.4, (draw(1) - 0.5) * 30, F.pow(axis, F.lit(1.5)) * 365.25
+
+    def point(day: Column) -> Column:
+        p = inclined_position(day + F.coalesce(start_days, F.lit(0.0)), axis, e, period, inclination)
+        return F.struct(day.alias("time"), *[p[k].alias(k) for k in ("x", "y", "z", "distance")])
+
+    return F.transform(F.sequence(F.lit(0), F.lit(days - 1), F.lit(every)), point)
+
+
 def inclined_position(days: Column, a, e, period, inclination, steps: int = 10) -> dict[str, Column]:
     """With the plane tilted about the x axis by inclination (degrees)."""
     big = eccentric_anomaly(mean_anomaly(days, period), e, steps)

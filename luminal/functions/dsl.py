@@ -47,6 +47,8 @@ def compile_transform(spec: Any) -> Column:
         value = step(value.cast("double"), float(spec["$step"]))
     if "$if" in spec:
         value = F.when(value.cast("boolean"), F.lit(spec["$if"][0])).otherwise(F.lit(spec["$if"][1]))
+    if "$calculate" in spec:  # a function of a column that gives a column
+        value = spec["$calculate"](value)
     if "$format" in spec:
         value = F.format_string(spec["$format"], value)
     return value

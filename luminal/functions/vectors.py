@@ -27,6 +27,17 @@ def distance(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0)))
 
 
+def distance_by(metric: str, a: list[Column], b: list[Column]) -> Column:
+    """euclidean, manhattan, or cosine (1 less the cosine; 1 if either has no length)."""
+    if metric == "euclidean":
+        return distance(a, b)
+    if metric == "manhattan":
+        return sum((F.abs(x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0))
+    if metric == "cosine":
+        return 1 - cosine(F.array(*a), F.array(*b))
+    raise ValueError(f"unknown metric {metric}")
+
+
 def similarity(d: Column, threshold: float) -> Column:
     return F.greatest(F.lit(0.0), 1 - d / threshold)
 

@@ -107,6 +107,21 @@ def mapper_graph(points: DataFrame, lens: str, intervals: int, overlap: float, c
     return nodes, edges
 
 
+def mapper_positions(nodes: DataFrame, edges: DataFrame, spacing: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """The clusters of mapper_graph with x, y, z (intervals along x, the clusters of one below another by name), and its
+    edges with both ends, their middle and length, and strength, the share of the smaller cluster that is shared."""
+    from luminal.operators.common import ranked
+    from luminal.operators.graph import place_edges
+
+    name = lambda i, c: F.concat_ws("/", F.col(i), F.col(c))
+    placed = ranked(nodes, ["interval"], "cluster", name="_at").withColumn("id", name("interval", "cluster"))
+    placed = placed.withColumns({"x": F.col("interval") * spacing, "y": F.col("_at") * -spacing, "z": F.lit(0.0)}).drop("_at")
+    ends = edges.select(name("ai", "ac").alias("source"), name("bi", "bc").alias("target"), "shared")
+    sizes = placed.select("id", "size")
+    e = place_edges(ends, placed).join(sizes.toDF("source", "_s"), "source").join(sizes.toDF("target", "_t"), "target")
+    return placed, e.withColumn("strength", F.col("shared") / F.least("_s", "_t")).drop("_s", "_t")
+
+
 def terrain(points: DataFrame, size: int, cell: float, scale: float = 1.0, error: float = 1e-6) -> DataFrame:
     """gx, gz, height of every place of a grid of size by size cells: log(1 + sum of exp(-2 d)) over all points (x, z),
     wherever they lie; without points, 0. Points without a place, or with one that is not finite, are left out.

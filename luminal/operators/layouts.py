@@ -189,11 +189,14 @@ def globe(df, order=(), lat: str = "lat", lng: str = "lng", radius: float = 3.0,
 
 @layout("embedding")
 def embedding(df, order, vector: str = "embedding", radius: float = 5.0, center=CENTER, seed: int = 42):
-    """The first three numbers of the vector; records without one are scattered about the centre."""
-    d = ordinal(df, *order)
+    """The first three numbers of the vector; records without one are scattered about the centre. If no record has a
+    vector, all stand on a ring by their order, 2 to 5 from the centre and up to 2 above or below it, by the seed."""
+    d = ordinal(df, *order, count="_n").join(F.broadcast(df.agg(F.coalesce(F.bool_or(F.col(vector).isNotNull()), F.lit(False)).alias("_any"))), F.lit(True))
     unit = lambda k: F.pmod(F.xxhash64(F.col("ord"), F.lit(seed), F.lit(k)), F.lit(1 << 53)) / float(1 << 53)
     at = lambda k: F.when(F.col(vector).isNotNull(), F.coalesce(F.get(F.col(vector), k).cast("double"), F.lit(0.0)) * radius).otherwise((unit(k) - 0.5) * 2 * radius)
-    return _place(d, center[0] + at(0), center[1] + at(1), center[2] + at(2))
+    turn, far = F.col("ord") / F.col("_n") * (2 * math.pi), 2 + unit(3) * 3
+    ring = (far * F.cos(turn), (unit(4) - 0.5) * 4, far * F.sin(turn))
+    return _place(d, *[c + F.when(F.col("_any"), at(k)).otherwise(r) for k, (c, r) in enumerate(zip(center, ring, strict=True))], ("_n", "_any"))
 
 
 @layout("projection")
@@ -225,6 +228,14 @@ def bar_row(df, order, value: str = "value", spacing: float = 1.5, scale: float
     return _place(d, (F.col("ord") - (F.col("_n") - 1) / 2) * spacing, F.col(value) * scale / 2, F.lit(0.0), ("_n",))
 
 
+@layout("trading-floor")
+def trading_floor(df, order, columns: int = 3, spacing: float = 4.0):
+    """Rows of columns places each on the ground, the columns about the middle, each row further back."""
+    d = ordinal(df, *order)
+    col, row = F.col("ord") % columns, F.floor(F.col("ord") / columns)
+    return _place(d, (col - (columns - 1) / 2) * spacing, F.lit(0.0), row * -spacing)
+
+
 @layout("galaxy")
 def galaxy(df, order, arms: int = 3, spread: float = 0.5, turns: float = 2.0):
     d = ordinal(df, *order, count="_n")
