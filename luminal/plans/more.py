@@ -248,12 +248,12 @@ def moved_positions(customer):
 
 
 @query("lineitem", sql="""
-    SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity * 10 - 100 <= 0 THEN 0.0 WHEN l_quantity * 10 - 100 <= 200 THEN (l_quantity * 10 - 100) / 200 * 0.1 WHEN l_quantity * 10 - 100 <= 500 THEN 0.1 + (l_quantity * 10 - 100 - 200) / 300 * 0.4 END, 6) + 0.0 AS alpha
-    FROM lineitem WHERE l_quantity >= 10""")
+    SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity * 10 - 100 < 0 THEN (l_quantity * 10 - 100) / 800 * 0.9 WHEN l_quantity * 10 - 100 <= 200 THEN (l_quantity * 10 - 100) / 200 * 0.1 WHEN l_quantity * 10 - 100 <= 500 THEN 0.1 + (l_quantity * 10 - 100 - 200) / 300 * 0.4 END, 6) + 0.0 AS alpha
+    FROM lineitem""")
 def brain_alpha(lineitem):
-    """Opacity of a scan's values by control points."""
+    """Opacity of a scan's values by control points; below the first, the line from the first to the last goes on."""
     v = F.col("l_quantity") * 10 - 100
-    return lineitem.filter("l_quantity >= 10").select("l_orderkey", "l_linenumber", r6(domains.transfer(v, "mri-brain")["a"]).alias("alpha"))
+    return lineitem.select("l_orderkey", "l_linenumber", r6(domains.transfer(v, "mri-brain")["a"]).alias("alpha"))
 
 
 @query("orders", sql="SELECT count(*) AS voxels, count(DISTINCT o_custkey) AS columns FROM orders WHERE month(o_orderdate) = 3")

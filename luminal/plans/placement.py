@@ -141,28 +141,30 @@ def springs(customer, supplier):
     return domains.spring_forces(edges, nodes, 3.0, 0.01).select("id", r6("fx", 5).alias("fx"))
 
 
-MESH = """v AS (SELECT r * 11 + c AS id, c::DOUBLE AS x, r::DOUBLE AS z FROM range(11) a(r), range(11) b(c)), p AS (SELECT r * 10 + c AS id, r, c FROM range(10) a(r), range(10) b(c))"""
-
-
-@query("region", sql=f"""
-    WITH {MESH} SELECT a.id AS a, b.id AS b, CASE WHEN b.id = a.id + 1 THEN a.c + 1.0 ELSE a.c + 0.5 END AS mx, CASE WHEN b.id = a.id + 1 THEN a.r + 0.5 ELSE a.r + 1.0 END AS mz, 1.0 AS length FROM p a JOIN p b ON b.r = a.r AND b.c = a.c + 1 OR b.r = a.r + 1 AND b.c = a.c""")
-def navmesh_edges(region):
-    spark = region.sparkSession
-    i = F.col("id")
-    v = spark.range(121).select(i, (i % 11).cast("double").alias("x"), F.lit(0.0).alias("y"), F.floor(i / 11).cast("double").alias("z"))
-    at = F.floor(i / 10) * 11 + i % 10
-    p = spark.range(100).select(i.alias("poly_id"), F.array(at, at + 1, at + 12, at + 11).alias("vertex_ids"))
-    return domains.shared_edges(p, v).select("a", "b", "mx", "mz", "length")
-
-
-@query("region", sql=f"WITH {MESH} SELECT id AS poly_id, c + 0.5 AS cx, r + 0.5 AS cz, 1.0 AS area FROM p")
-def navmesh_areas(region):
-    spark = region.sparkSession
-    i = F.col("id")
-    v = spark.range(121).select(i, (i % 11).cast("double").alias("x"), F.lit(0.0).alias("y"), F.floor(i / 11).cast("double").alias("z"))
-    at = F.floor(i / 10) * 11 + i % 10
-    p = spark.range(100).select(i.alias("poly_id"), F.array(at, at + 1, at + 12, at + 11).alias("vertex_ids"))
-    return domains.polygon_facts(p, v).select("poly_id", "cx", "cz", "area")
+#: A mesh of the customers: corners 30 to a row, moved by the balance, and a polygon between each four.
+MESH = """v AS (SELECT c_custkey AS id, c_custkey % 30 + c_acctbal / 130000 AS x, c_custkey // 30 + (c_custkey * 7 % 10) / 40.0::DOUBLE AS z FROM customer),
+    p AS (SELECT a.id, a.x AS x1, a.z AS z1, b.x AS x2, b.z AS z2, c.x AS x3, c.z AS z3, d.x AS x4, d.z AS z4 FROM v a JOIN v b ON b.id = a.id + 1 JOIN v c ON c.id = a.id + 31 JOIN v d ON d.id = a.id + 30 WHERE a.id % 30 < 29)"""
+
+
+def mesh(customer):
+    k = F.col("c_custkey")
+    v = customer.select(k.alias("id"), (k % 30 + F.col("c_acctbal") / 130000).alias("x"), F.lit(0.0).alias("y"), (F.floor(k / 30) + F.col("c_custkey") * 7 % 10 / 40.0).alias("z"))
+    i, other = F.col("id"), v.select((F.col("id") - 31).alias("id"))
+    p = v.select("id").filter("id % 30 < 29").join(other, "id")
+    return p.select(i.alias("poly_id"), F.array(i, i + 1, i + 31, i + 30).alias("vertex_ids")), v
+
+
+@query("customer", sql=f"""
+    WITH {MESH}, e AS (SELECT a.id AS a, b.id AS b, a.x2 AS vx, a.z2 AS vz, a.x3 AS wx, a.z3 AS wz FROM p a JOIN p b ON b.id = a.id + 1 AND b.id % 30 > 0 UNION ALL SELECT a.id, b.id, a.x4, a.z4, a.x3, a.z3 FROM p a JOIN p b ON b.id = a.id + 30)
+    SELECT a, b, round((vx + wx) / 2, 6) AS mx, round((vz + wz) / 2, 6) AS mz, round(sqrt((vx - wx) * (vx - wx) + (vz - wz) * (vz - wz)), 6) AS length FROM e""")
+def navmesh_edges(customer):
+    return domains.shared_edges(*mesh(customer)).select("a", "b", *[r6(c).alias(c) for c in ("mx", "mz", "length")])
+
+
+@query("customer", sql=f"""
+    WITH {MESH} SELECT id AS poly_id, round((x1 + x2 + x3 + x4) / 4, 6) AS cx, round((z1 + z2 + z3 + z4) / 4, 6) AS cz, round(abs(x1 * z2 - x2 * z1 + x2 * z3 - x3 * z2 + x3 * z4 - x4 * z3 + x4 * z1 - x1 * z4) / 2, 5) AS area FROM p""")
+def navmesh_areas(customer):
+    return domains.polygon_facts(*mesh(customer)).select("poly_id", r6("cx").alias("cx"), r6("cz").alias("cz"), r6("area", 5).alias("area"))
 
 
 @query("embeddings", sql=f"SELECT a.id, b.id AS id2 FROM (SELECT id, x * 40 AS x, y * 40 AS y, z * 40 AS z FROM {POINTS}) a JOIN (SELECT id, x * 40 AS x, y * 40 AS y, z * 40 AS z FROM {POINTS}) b ON a.id < b.id AND {D3} <= 1.8")
