@@ -156,15 +156,16 @@ def mesh(customer):
 
 @query("customer", sql=f"""
     WITH {MESH}, e AS (SELECT a.id AS a, b.id AS b, a.x2 AS vx, a.z2 AS vz, a.x3 AS wx, a.z3 AS wz FROM p a JOIN p b ON b.id = a.id + 1 AND b.id % 30 > 0 UNION ALL SELECT a.id, b.id, a.x4, a.z4, a.x3, a.z3 FROM p a JOIN p b ON b.id = a.id + 30)
-    SELECT a, b, round((vx + wx) / 2, 6) AS mx, round((vz + wz) / 2, 6) AS mz, round(sqrt((vx - wx) * (vx - wx) + (vz - wz) * (vz - wz)), 6) AS length FROM e""")
+    SELECT a, b, round((vx + wx) / 2 + 1e-8, 6) AS mx, round((vz + wz) / 2 + 1e-8, 6) AS mz, round(sqrt((vx - wx) * (vx - wx) + (vz - wz) * (vz - wz)) + 1e-8, 6) AS length FROM e""")
 def navmesh_edges(customer):
-    return domains.shared_edges(*mesh(customer)).select("a", "b", *[r6(c).alias(c) for c in ("mx", "mz", "length")])
+    # so that no value ends in a half
+    return domains.shared_edges(*mesh(customer)).select("a", "b", *[r6(F.col(c) + 1e-8).alias(c) for c in ("mx", "mz", "length")])
 
 
 @query("customer", sql=f"""
-    WITH {MESH} SELECT id AS poly_id, round((x1 + x2 + x3 + x4) / 4, 6) AS cx, round((z1 + z2 + z3 + z4) / 4, 6) AS cz, round(abs(x1 * z2 - x2 * z1 + x2 * z3 - x3 * z2 + x3 * z4 - x4 * z3 + x4 * z1 - x1 * z4) / 2, 5) AS area FROM p""")
+    WITH {MESH} SELECT id AS poly_id, round((x1 + x2 + x3 + x4) / 4 + 1e-8, 6) AS cx, round((z1 + z2 + z3 + z4) / 4 + 1e-8, 6) AS cz, round(abs(x1 * z2 - x2 * z1 + x2 * z3 - x3 * z2 + x3 * z4 - x4 * z3 + x4 * z1 - x1 * z4) / 2, 5) AS area FROM p""")
 def navmesh_areas(customer):
-    return domains.polygon_facts(*mesh(customer)).select("poly_id", r6("cx").alias("cx"), r6("cz").alias("cz"), r6("area", 5).alias("area"))
+    return domains.polygon_facts(*mesh(customer)).select("poly_id", r6(F.col("cx") + 1e-8).alias("cx"), r6(F.col("cz") + 1e-8).alias("cz"), r6("area", 5).alias("area"))
 
 
 @query("embeddings", sql=f"SELECT a.id, b.id AS id2 FROM (SELECT id, x * 40 AS x, y * 40 AS y, z * 40 AS z FROM {POINTS}) a JOIN (SELECT id, x * 40 AS x, y * 40 AS y, z * 40 AS z FROM {POINTS}) b ON a.id < b.id AND {D3} <= 1.8")
