@@ -131,12 +131,13 @@ def heatmap(value: Column, low: float, high: float, palette: Sequence[str] = tup
     """Between neighbouring colours of the palette, clamped."""
     at = clamp((value.cast("double") - low) / (high - low)) * (len(palette) - 1)
 
-    def channel(i: int) -> Column:
+    def channel(i: int, at: Column) -> Column:
         levels = F.array(*[F.lit(int(c[1 + 2 * i : 3 + 2 * i], 16)) for c in palette])
         below = F.element_at(levels, (F.floor(at) + 1).cast("int"))
         return below + (F.element_at(levels, (F.ceil(at) + 1).cast("int")) - below) * (at - F.floor(at))
 
-    return to_hex(channel(0), channel(1), channel(2))
+    # an array of one, so that the place is worked out once
+    return F.transform(F.array(at), lambda x: to_hex(*[channel(i, x) for i in range(3)]))[0]
 
 
 def domain_color(value: Column, domain: str | None, scale: str | None, kind: str | None, id_: Column) -> Column:
