@@ -7,6 +7,8 @@ the urls that the rules themselves judge."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,24 +57,44 @@ def _ruled(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
     return urls.join(fits, "_host", "left").withColumn("_hit", hit).select("_id", "_host", "_path", F.col("_hit.name").alias("_rule"), F.col("_hit.verdict").alias("_said"))
 
 
+def _variable(seg: Column) -> Column:
+    return seg.contains("#") | (seg == "**")
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """urls (_host, _path, _label: 1 blocked, 0 allowed, null unknown) to (_host, _shape, template, purity): a row
-    for each shape of path, digits runs being one. The tree is as deep as the
-    deepest path, a level a round. All counts are of all urls, summed before they are shuffled."""
+    for each shape of path, digits runs being one. The tree is as deep as the deepest path; a round works out a level at
+    which the paths of a node branch, wherever it lies, and what all of them have in common is passed at once, so that a
+    chain of any length costs no round. All counts are of all urls, summed before they are shuffled."""
     shapes = urls.groupBy("_host", F.regexp_replace("_path", "[0-9]+", "#").alias("_shape")).agg(
         F.count("*").alias("n"), F.count("_label").alias("seen"), F.coalesce(F.sum("_label"), F.lit(0)).alias("bad")
     )
     parts = F.slice(F.split("_shape", "/"), 2, 1 << 20)
-    now = cut(shapes.withColumn("segs", parts).withColumn("node", F.lit("")), "url-shapes")
+    now = cut(shapes.withColumns({"segs": parts, "node": F.lit(""), "at": F.lit(0)}), "url-shapes")
     sums = [F.sum(c).alias(c) for c in ("n", "seen", "bad")]
-    total = now.agg(*sums, F.max(F.size("segs")).alias("depth")).first()
+    total = now.agg(*sums).first()
     prior = (total["bad"] or 0) / total["seen"] if total["seen"] else 0.0
     end = F.lit("\0")
-    done = []  # shapes that ended a level ago or more: no other shape's node is theirs
-    for level in range(total["depth"] or 0):
-        done.append(now.filter(F.size("segs") < level))
-        now = now.filter(F.size("segs") >= level)
-        seg, below = F.coalesce(F.get("segs", F.lit(level)), end), F.get("segs", F.lit(level + 1))
+    plain = lambda seg: F.when(_variable(seg), F.lit("/*")).when(seg == "", F.lit("/")).otherwise(F.concat(F.lit("/"), seg))
+    done = []  # shapes that have ended: no other shape's node is theirs
+    for level in count():
+        # what all shapes of a node have in common is what its first and its last have; there a node has one branch
+        rest = F.slice("segs", F.col("at") + 1, F.greatest(F.lit(0), F.size("segs") - F.col("at")))
+        now = now.withColumn("rest", rest)
+        ways = now.groupBy("_host", "node", "at").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        differs = F.array_position(F.zip_with("low", "high", lambda a, b: ~a.eqNullSafe(b)), True)
+        ways = ways.select("_host", "node", "at", F.when(differs == 0, F.size("low")).otherwise(differs - 1).cast("int").alias("shared"))
+        now = now.join(ways, ["_host", "node", "at"])
+        passed = F.array_join(F.transform(F.slice("rest", F.lit(1), F.col("shared")), plain), "")
+        now = cut(now.select("_host", "_shape", "segs", F.concat("node", passed).alias("node"), (F.col("at") + F.col("shared")).alias("at"), "n", "seen", "bad", (F.col("shared") == F.size("rest")).alias("ended")), f"url-level{level}")
+        # where some shape of a node ends and others go on, its end is a branch like theirs
+        others = now.groupBy("_host", "node", "at").agg(F.bool_or(~F.col("ended")).alias("more"))
+        now = now.join(others, ["_host", "node", "at"])
+        done.append(now.filter("not more").select("_host", "_shape", "node", "n", "seen", "bad"))
+        now = now.filter("more").drop("more", "ended")
+        if now.isEmpty():
+            break
+        seg, below = F.coalesce(F.get("segs", F.col("at")), end), F.get("segs", F.col("at") + 1)
         now = now.withColumn("seg", seg)
         branches = now.groupBy("_host", "node", "seg").agg(
             *sums, F.sum(F.when(below.isNull(), F.col("n")).otherwise(0)).alias("last"), F.sum(F.when(below.contains("#"), F.col("n")).otherwise(0)).alias("numbered")
@@ -88,16 +110,15 @@ def templates(urls: DataFrame) -> DataFrame:
         p = F.col("all_bad") / every
         spread = F.sqrt(p * (1 - p) * (1 / n + 1 / every))
         apart = F.when(spread > 0, F.abs(F.col("bad") / n - p) / spread).otherwise(0.0)
-        variable = F.col("seg").contains("#") | (F.col("seg") == "**")
         rare = (F.col("kinds") >= FANOUT) & (n * FANOUT < every)
         alike = (F.col("kinds") > 1) & (chi2 < CHI2) & (apart < Z)
-        token = F.when(F.col("seg") == end, F.lit("")).when(variable | rare | alike, F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("seg")))
+        token = F.when(F.col("seg") == end, F.lit("")).when(_variable(F.col("seg")) | rare | alike, F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("seg")))
         token = F.when((F.col("seg") != end) & (F.col("seg") == ""), F.lit("/")).otherwise(token)
         chosen = both.select("_host", "node", "seg", token.alias("token"))
-        now = now.join(chosen, ["_host", "node", "seg"]).withColumn("node", F.concat("node", "token")).drop("seg", "token")
-        now = cut(now.select("_host", "_shape", "segs", "node", "n", "seen", "bad"), f"url-level{level}")
-    for ended in done:
-        now = now.unionByName(ended.select(*now.columns))
+        now = cut(now.join(chosen, ["_host", "node", "seg"]).withColumn("node", F.concat("node", "token")).drop("token", "rest", "shared"), f"url-branch{level}")
+        done.append(now.filter(F.col("seg") == end).select("_host", "_shape", "node", "n", "seen", "bad"))
+        now = now.filter(F.col("seg") != end).select("_host", "_shape", "segs", "node", (F.col("at") + 1).alias("at"), "n", "seen", "bad")
+    now = cut(reduce(DataFrame.unionByName, done), "url-templates")
     weight = ALPHA + (F.col("n") - F.col("seen")) / 2
     purity = (F.col("bad") + F.lit(prior) * weight) / (F.col("seen") + weight)
     judged = now.groupBy("_host", "node").agg(*sums).select("_host", "node", purity.alias("purity"))

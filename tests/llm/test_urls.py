@@ -61,3 +61,18 @@ def test_many_rules_and_odd_rows(spark):
     assert said["h5.com", "/p5/x"] == "h5.com/p5/" and said["h5.com", "/p5/ok/1"] == "h5.com/p5/ok" and said["a.b.h12.com", "/p5/"] == "h12.com/p5/"
     assert said["a.b.h12.com", "/p1/"] is None and said["x.com", "/p5/1"] == "com/p5/" and said["a." * 50_000 + "h5.com", "/p5/" + "y/" * 3] == "h5.com/p5/"
     assert judge(df, []).filter("rule is not null").count() == 0
+
+
+def test_very_deep_paths_take_few_rounds(spark, monkeypatch):
+    from luminal.llm import urls as module
+
+    rounds = []
+    real = module.cut
+    monkeypatch.setattr(module, "cut", lambda df, label: rounds.append(label) or real(df, label))
+    trap = "/".join(["loop", "", "x7", "**"] * 500)
+    rows = [f"http://trap.org/{trap}", f"http://trap.org/{trap}/more", f"http://trap.org/{trap}", f"http://b.trap.org/{trap}"] + [f"http://shop.org/{a}/{b}/" for a in ("p", "q") for b in range(30)] + ["http://shop.org", "http://shop.org/", "http://shop.org//"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id int, url string")
+    got = {r.page_id: r.template for r in judge(df, RULES).collect()}
+    deep = "/" + "/".join(["loop", "", "*", "*"] * 500)
+    assert got[0] == got[2] == "trap.org" + deep and got[1] == "trap.org" + deep + "/*" and got[3] == "b.trap.org" + deep
+    assert sum(x.startswith("url-branch") for x in rounds) <= 4
