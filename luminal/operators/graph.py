@@ -54,8 +54,8 @@ def neighbours(edges: DataFrame, ids: list) -> DataFrame:
 
 def distances_from(edges: DataFrame, start, max_hops: int | None = None) -> DataFrame:
     """id, hops from start along edges in either direction: a breadth-first search, one join for each hop, until no
-    node is left that can be reached; with max_hops only those within so many. Only the frontier moves; what has been
-    seen is kept in the shared folder."""
+    node is left that can be reached; with max_hops only those within so many. The edges are read and joined with the
+    frontier at each hop; edges and what has been seen are kept in the shared folder."""
     both = cut(edges.select("source", "target").union(edges.select("target", "source")).toDF("a", "b").distinct(), "bfs-edges")
     seen = both.sparkSession.createDataFrame([(start, 0)], f"id {both.schema['a'].dataType.simpleString()}, hops int")
     front = seen

@@ -41,7 +41,9 @@ def layout_projection(embeddings):
     o AS (SELECT *, x - 1 AS ox, y - 2 AS oy, z - 3 AS oz FROM p), d AS (SELECT *, sqrt(ox * ox + oy * oy + oz * oz) AS d, sqrt(ox * ox + oz * oz) AS h FROM o)
     SELECT id, round(CASE WHEN d > 0 AND d < 4 THEN -ox / d * 5 / (d * d + 0.01) ELSE 0 END, 6) + 0.0 AS well, round(CASE WHEN d > 0 AND d < 4 THEN ox / d * 5 / (d * d + 1) ELSE 0 END, 6) + 0.0 AS blast,
       round(CASE WHEN d > 0 AND d < 4 AND h > 0 THEN oz / h * 2 * (1 - d / 4) ELSE 0 END, 6) + 0.0 AS whirl, round(CASE WHEN y < 0.5 THEN 1.2 * least(0.5 - y, 1.0) * 9.81 - vy * 0.1 ELSE 0 END, 6) + 0.0 AS lift,
-      2.0::DOUBLE AS wind, round(-x * 0.04, 6) + 0.0 AS center FROM d""")
+      2.0::DOUBLE AS wind, round(-x * 0.04, 6) + 0.0 AS center,
+      round(CASE WHEN d > 0 AND d < 4 THEN -oy / d * 5 / (d * d + 0.01) ELSE 0 END, 6) + 0.0 AS well_y, round(CASE WHEN d > 0 AND d < 4 THEN oy / d * 5 / (d * d + 1) ELSE 0 END, 6) + 0.0 AS blast_y, round(-y * 0.04, 6) + 0.0 AS center_y, round(CASE WHEN d > 0 AND d < 4 THEN -oz / d * 5 / (d * d + 0.01) ELSE 0 END, 6) + 0.0 AS well_z, round(CASE WHEN d > 0 AND d < 4 THEN oz / d * 5 / (d * d + 1) ELSE 0 END, 6) + 0.0 AS blast_z, round(-z * 0.04, 6) + 0.0 AS center_z,
+      0.0::DOUBLE AS whirl_y, round(CASE WHEN d > 0 AND d < 4 AND h > 0 THEN -ox / h * 2 * (1 - d / 4) ELSE 0 END, 6) + 0.0 AS whirl_z, 0.0::DOUBLE AS wind_y FROM d""")
 def force_fields(customer):
     """What wells, blasts, whirls, water, wind and the centre do to each point."""
     k = F.col("c_custkey")
@@ -51,6 +53,9 @@ def force_fields(customer):
         "well": domains.gravity_well(at, 5.0, 4.0)["fx"], "blast": domains.explosion(at, 5.0, 4.0)["fx"], "whirl": domains.vortex(at, (0, 1, 0), 2.0, 4.0)["fx"],
         "lift": domains.buoyancy(0.5, 1.2)["fy"], "wind": domains.wind((1, 0, 0), 2.0)["fx"], "center": domains.center_gravity(0.4)["fx"],
     }
+    for a in "yz":
+        forces |= {f"well_{a}": domains.gravity_well(at, 5.0, 4.0)[f"f{a}"], f"blast_{a}": domains.explosion(at, 5.0, 4.0)[f"f{a}"], f"whirl_{a}": domains.vortex(at, (0, 1, 0), 2.0, 4.0)[f"f{a}"], f"center_{a}": domains.center_gravity(0.4)[f"f{a}"]}
+    forces["wind_y"] = domains.wind((1, 0, 0), 2.0)["fy"]
     return d.select("id", *[r6(c).alias(name) for name, c in forces.items()])
 
 
@@ -78,16 +83,16 @@ def first_hit(embeddings):
 
 @query("customer", sql="""
     SELECT c_custkey % 100000 AS serial, 'CA' AS name, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS chain, c_custkey % 1000 / 8.0::DOUBLE AS x, -(c_custkey % 97) / 4.0::DOUBLE AS y, CASE WHEN c_custkey % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS occupancy,
-      CASE WHEN c_custkey % 3 = 0 THEN 'C' ELSE 'N' END AS element FROM customer""")
+      CASE WHEN c_custkey % 3 = 0 THEN 'C' ELSE 'N' END AS element, c_custkey % 50 / 2.0::DOUBLE AS z, 'GLY' AS residue, (c_custkey % 1000)::INT AS res_seq, '' AS alt, 1.5::DOUBLE AS temperature, CASE WHEN c_custkey % 4 = 0 THEN '1+' ELSE '' END AS charge FROM customer""")
 def pdb_lines(customer):
     k = F.col("c_custkey")
     line = F.format_string(
         "ATOM  %5d %-4s%1s%-3s %1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s%2s",
-        k % 100_000, F.lit(" CA"), F.lit(" "), F.lit("GLY"), F.when(k % 2 == 0, "A").otherwise("B"), k % 1000, k % 1000 / 8.0, -(k % 97) / 4.0, F.lit(0.0), F.when(k % 2 == 0, 0.0).otherwise(0.5), F.lit(1.5),
-        F.when(k % 3 == 0, "  ").otherwise(" N"), F.lit("  "),
+        k % 100_000, F.lit(" CA"), F.lit(" "), F.lit("GLY"), F.when(k % 2 == 0, "A").otherwise("B"), k % 1000, k % 1000 / 8.0, -(k % 97) / 4.0, k % 50 / 2.0, F.when(k % 2 == 0, 0.0).otherwise(0.5), F.lit(1.5),
+        F.when(k % 3 == 0, "  ").otherwise(" N"), F.when(k % 4 == 0, "1+").otherwise("  "),
     )
     lines = customer.select(line.alias("value")).union(customer.select(F.lit("REMARK none").alias("value")))
-    return formats.pdb_atoms(lines).select(F.col("serial").cast("long").alias("serial"), "name", "chain", "x", "y", "occupancy", "element")
+    return formats.pdb_atoms(lines).select(F.col("serial").cast("long").alias("serial"), "name", "chain", "x", "y", "occupancy", "element", "z", "residue", "res_seq", "alt", "temperature", "charge")
 
 
 @query("customer", sql="SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer")
@@ -170,6 +175,15 @@ def component_graph(customer, region):
     return graph.ecs_graph(e, s)[0].select("id", "kind", "entities")
 
 
+@query("customer", "region", sql="""
+    SELECT DISTINCT 'entity:' || c_custkey AS source, 'component:' || unnest([c_mktsegment, 'nation' || c_nationkey]) AS target FROM customer
+    UNION ALL SELECT 'system:' || r_name, 'component:' || unnest(['BUILDING', 'nation' || r_regionkey, 'unused']) FROM region""")
+def component_edges(customer, region):
+    e = customer.select(F.col("c_custkey").alias("id"), F.array("c_mktsegment", F.concat(F.lit("nation"), "c_nationkey")).alias("components"))
+    s = region.select(F.col("r_name").alias("name"), F.array(F.lit("BUILDING"), F.concat(F.lit("nation"), "r_regionkey"), F.lit("unused")).alias("queries"))
+    return graph.ecs_graph(e, s)[1]
+
+
 @query("nation", sql="""
     SELECT n_nationkey AS source, t.k AS target FROM nation JOIN (SELECT n_nationkey AS k FROM nation) t ON t.k IN (n_nationkey // 2, n_nationkey + 5, n_nationkey + 100) AND t.k >= n_nationkey""")
 def listed_neighbours(nation):
