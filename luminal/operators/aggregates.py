@@ -7,17 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from luminal.operators.common import cut, with_totals
+from luminal.operators.common import cut, ranked, with_totals
 
 
 def group_records(df: DataFrame, key: str | Column, order: str) -> DataFrame:
-    """key (as text, null being 'null'), n, records in order. A hot key makes one long array: for large groups work
-    on the rows instead."""
+    """key (as text, null being 'null'), n, records in order. A hot key makes one long array: for large groups take
+    grouped_rows instead."""
     k = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("null")).alias("key")
     rest = [c for c in df.columns if c != order]
     return df.groupBy(k).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(order, *rest))).alias("records"))
 
 
+def grouped_rows(df: DataFrame, key: str | Column, *order: str) -> DataFrame:
+    """df with key (as text, null being 'null'), n, the rows of the group, and place, from 0 in order, which must end with
+    a unique column: what group_records gives, a row each, so that a group may be of any size."""
+    k = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("null"))
+    return ranked(df.withColumn("key", k), ["key"], *order, name="place", count="n")
+
+
 def entropy(df: DataFrame, category: str, by: list[str] = ()) -> DataFrame:
     """Shannon entropy (bits) of a category, and normalised by the count of records (0 for a single one)."""
     counts = df.groupBy(*by, F.coalesce(F.col(category).cast("string"), F.lit("unknown")).alias("_c")).agg(F.count("*").alias("_k"))

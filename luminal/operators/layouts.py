@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from luminal.operators.common import CENTER, ordinal, with_totals
+from luminal.operators.common import CENTER, join_hot, ordinal, ranked, with_totals
 
 GOLDEN = math.pi * (3 - math.sqrt(5))
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
@@ -152,7 +152,8 @@ def categorical_grid(df, order, category: str = "category", spacing: float = 0.5
     """A square of records for each category, categories in the order in which they first appear."""
     d = ordinal(df, *order).withColumn("_cat", F.coalesce(F.col(category).cast("string"), F.lit("default")))
     cats = ordinal(d.groupBy("_cat").agg(F.min("ord").alias("_first"), F.count("*").alias("_size")), "_first", name="_c", count="_cats")
-    within = ordinal(d, "ord", by=["_cat"], name="_i").join(cats, "_cat")
+    # a few categories may hold all records
+    within = join_hot(ranked(d, ["_cat"], "ord", name="_i"), cats, ["_cat"])
     wide, gap = F.ceil(F.sqrt("_size")), spacing * 2
     x = center[0] + (F.col("_c") - F.col("_cats") / 2) * gap * 2 + F.col("_i") % wide * gap
     return _place(within, x, F.lit(center[1]), center[2] + F.floor(F.col("_i") / wide) * gap, ("_cat", "_first", "_size", "_c", "_cats", "_i"))
@@ -251,8 +252,8 @@ def palace(df, order, wing: str = "wing_id", room: str = "room_id", size: float
     grid if there are more than ten). Wings and rooms go by their first item."""
     d = ordinal(df, *order)
     wings = ordinal(d.groupBy(wing).agg(F.min("ord").alias("_wf")), "_wf", name="_w", count="_ws").drop("_wf")
-    rooms = ordinal(d.groupBy(wing, room).agg(F.min("ord").alias("_rf"), F.count("*").alias("_k")), "_rf", by=[wing], name="_r", count="_rs").drop("_rf")
-    d = ordinal(d, "ord", by=[wing, room], name="_i").join(rooms, [wing, room]).join(wings, wing)
+    rooms = ranked(d.groupBy(wing, room).agg(F.min("ord").alias("_rf"), F.count("*").alias("_k")), [wing], "_rf", name="_r", count="_rs").drop("_rf")
+    d = join_hot(join_hot(ranked(d, [wing, room], "ord", name="_i"), rooms, [wing, room]), wings, [wing])
     y = 1 - F.col("_w") / F.greatest(F.lit(1), F.col("_ws") - 1) * 2
     flat, turn = F.sqrt(F.greatest(F.lit(0.0), 1 - y * y)), F.col("_r") / F.col("_rs") * (2 * math.pi)
     rx = center[0] + F.cos(F.col("_w") * GOLDEN) * flat * 10 + F.cos(turn) * 3

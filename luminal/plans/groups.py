@@ -15,6 +15,12 @@ def group_collect(nation):
     return g.select("key", "n", F.array_join(F.transform("records", lambda r: r["n_name"]), ",").alias("names"))
 
 
+@query("orders", sql="SELECT o_orderkey, o_orderstatus AS key, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders")
+def grouped_rows(orders):
+    """Three groups hold all orders."""
+    return aggregates.grouped_rows(orders, "o_orderstatus", "o_totalprice", "o_orderkey").select("o_orderkey", "key", "place", "n")
+
+
 @query("events", sql="""
     WITH e AS (SELECT floor(epoch_ms(ts) / 86400000)::BIGINT * 86400000 AS bucket, event_type AS g, count(*) AS n FROM events GROUP BY 1, 2)
     SELECT bucket, sum(n)::BIGINT AS count, string_agg(g || '=' || n, ';' ORDER BY g) AS by_type FROM e GROUP BY bucket""")
