@@ -54,12 +54,13 @@ def query(df: DataFrame, criteria: dict) -> DataFrame:
 
 def query_table(registry, form: dict) -> DataFrame:
     """{table, where, order_by, limit}: rows of a dataset of registry (records.Registry) by its name; all but table may
-    be left out. order_by is a field, with a minus in front for the greatest first."""
+    be left out. order_by is a field, with a minus in front for the greatest first, or a list of them; ties are left open
+    unless the last one is unique."""
     if form.get("table") not in registry.names:
         raise KeyError(f"no dataset {form.get('table')}")
     df = query(registry.spark.table(form["table"]), form.get("where") or {})
     if by := form.get("order_by"):
-        df = df.orderBy(F.desc(by[1:]) if by.startswith("-") else F.asc(by))
+        df = df.orderBy(*[F.desc(b[1:]) if b.startswith("-") else F.asc(b) for b in ([by] if isinstance(by, str) else by)])
     return df.limit(form["limit"]) if form.get("limit") is not None else df
 
 

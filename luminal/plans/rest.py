@@ -91,7 +91,7 @@ def table_query(orders):
     """The query form {table, where, order_by, limit} over an engine's datasets."""
     engine = Engine(orders.sparkSession)
     engine.datasets.load("query_orders", orders)
-    return engine.query({"table": "query_orders", "where": {"o_totalprice": {"$gt": 100000}, "o_orderstatus": {"$in": ["F", "O"]}}, "order_by": "-o_totalprice", "limit": 20}).select("o_orderkey", "o_totalprice")
+    return engine.query({"table": "query_orders", "where": {"o_totalprice": {"$gt": 100000}, "o_orderstatus": {"$in": ["F", "O"]}}, "order_by": ["-o_totalprice", "o_orderkey"], "limit": 20}).select("o_orderkey", "o_totalprice")
 
 
 @query("customer", sql="SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 0 ELSE 180 END AS turn FROM customer")

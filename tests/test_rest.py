@@ -52,6 +52,21 @@ def test_engine_export_restore_and_query(spark, tmp_path):
         two.query({"table": "none"})
 
 
+def test_query_order_by_several_fields(spark):
+    e = api.Engine(spark)
+    e.datasets.load("rest_ties", [{"id": i, "v": i % 2} for i in (5, 3, 8, 1, 4, 7)])
+    assert [r.id for r in e.query({"table": "rest_ties", "order_by": ["-v", "id"], "limit": 3}).collect()] == [1, 3, 5]
+    assert [r.id for r in e.query({"table": "rest_ties", "order_by": ["v", "-id"], "limit": 3}).collect()] == [8, 4, 7]
+
+
+def test_table_query_of_equal_prices(spark, tmp_path):
+    from luminal.plans import QUERIES
+
+    o = spark.range(400).select(F.col("id").alias("o_orderkey"), F.lit(200000.0).alias("o_totalprice"), F.lit("F").alias("o_orderstatus"))
+    o.repartition(7, F.xxhash64("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r.o_orderkey for r in QUERIES["table_query"](spark, str(tmp_path)).collect()] == list(range(20))
+
+
 def test_default_spec_and_record(spark):
     assert api.load_spec() == api.load_spec("") == api.DEFAULT_SPEC and api.load_spec('{"id": "x"}') == {"id": "x"} and api.load_spec({"id": 1}) == {"id": 1}
     assert [r.asDict() for r in api.load_data(spark).collect()] == [{"value": 42, "label": "Default"}]
