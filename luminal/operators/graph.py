@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from luminal.functions.vectors import distance
-from luminal.operators.common import cut
+from luminal.operators.common import cut, join_hot
 
 
 def edges_of(df: DataFrame, id_col: str = "id", links: str = "links") -> DataFrame:
@@ -38,6 +38,13 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return out if nodes is None else nodes.select("id").join(out, "id", "left").fillna(0, ["degree"])
 
 
+def shared_degrees(left: DataFrame, right: DataFrame, key: str = "key") -> DataFrame:
+    """left (id, key) with degree: the edges of each row in the graph that ties every row of left to all rows of right
+    with its key. A key's rows of right are counted once, and no edge is made. A null key ties nothing."""
+    n = right.groupBy(key).agg(F.count("*").alias("degree"))
+    return join_hot(left, n.filter(F.col(key).isNotNull()), [key], "left").fillna(0, ["degree"]).select("id", key, "degree")
+
+
 def degree_style(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """id, degree, size and emissive by the node's degree and how many nodes there are; without nodes those of edges."""
     d = degrees(edges, nodes)

@@ -67,6 +67,17 @@ def test_table_query_of_equal_prices(spark, tmp_path):
     assert [r.o_orderkey for r in QUERIES["table_query"](spark, str(tmp_path)).collect()] == list(range(20))
 
 
+def test_shared_degrees_make_no_edges(spark):
+    from luminal.operators import graph
+
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (4, None)], "id int, key string")
+    d = graph.shared_degrees(left, spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "key string"))
+    assert rows(d.select("id", "degree")) == [(1, 2), (1, 2), (2, 1), (3, 0), (4, 0)]
+    # two hundred thousand million edges
+    big = graph.shared_degrees(spark.range(400_000).selectExpr("id", "1 as key"), spark.range(500_000).selectExpr("1 as key"))
+    assert big.groupBy("degree").count().collect() == [(500_000, 400_000)]
+
+
 def test_default_spec_and_record(spark):
     assert api.load_spec() == api.load_spec("") == api.DEFAULT_SPEC and api.load_spec('{"id": "x"}') == {"id": "x"} and api.load_spec({"id": 1}) == {"id": 1}
     assert [r.asDict() for r in api.load_data(spark).collect()] == [{"value": 42, "label": "Default"}]
