@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Semi-major axis (AU), eccentricity, period (years), size, colour.
@@ -46,24 +46,55 @@ def solar_system(t: Column) -> Column:
     return F.array(*each)
 
 
+def _orbit(a: Column, key: Column, start_days: Column, seed: int) -> dict[str, Column]:
+    axis = F.when(F.coalesce(a, F.lit(0.0)) != 0, a).otherwise(1.5).cast("double")
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), key, F.lit(k))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return {"axis": axis, "e": 0.3 + draw(0) * 0.4, "period": F.pow(axis, F.lit(1.5)) * 365.25, "inclination": (draw(1) - 0.5) * 30, "start": F.coalesce(start_days, F.lit(0.0))}
+
+
 def trajectory(a: Column, key: Column, start_days: Column, seed: int = 42, days: int = 365, every: int = 10) -> Column:
     """The way of a body along an orbit of semi-major axis a (1.5 if null or 0) as an array of (time, x, y, z, distance),
     every so many days from start_days: 37 points over a year. Eccentricity (0.3 to 0.7) and inclination (15 degrees
     either way) are drawn by key and seed; the period is by Kepler's third law."""
-    axis = F.when(F.coalesce(a, F.lit(0.0)) != 0, a).otherwise(1.5).cast("double")
-    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), key, F.lit(k))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    e, inclination, period = 0.3 + draw(0) * 0.4, (draw(1) - 0.5) * 30, F.pow(axis, F.lit(1.5)) * 365.25
 
-    def point(day: Column) -> Column:
-        p = inclined_position(day + F.coalesce(start_days, F.lit(0.0)), axis, e, period, inclination)
-        return F.struct(day.alias("time"), *[p[k].alias(k) for k in ("x", "y", "z", "distance")])
+    def point(day: Column, o: Column) -> Column:
+        def at(big: Column) -> Column:
+            p = _inclined(big, o["axis"], o["e"], o["inclination"])
+            return F.struct(day.alias("time"), *[p[k].alias(k) for k in ("x", "y", "z", "distance")])
+
+        return _once(eccentric_anomaly(mean_anomaly(day + o["start"], o["period"]), o["e"], 10), at)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(days - 1), F.lit(every)), point)
+    orbit = F.struct(*[c.alias(k) for k, c in _orbit(a, key, start_days, seed).items()])
+    return _once(orbit, lambda o: F.transform(F.sequence(F.lit(0), F.lit(days - 1), F.lit(every)), lambda day: point(day, o)))
+
+
+def trajectories(df: DataFrame, a: Column, key: Column, start_days: Column, seed: int = 42, days: int = 365, every: int = 10) -> DataFrame:
+    """A row for each of trajectory's points: df's columns, time, x, y, z and distance. The work of a row is long for its
+    size, so rows are dealt over all shuffle partitions; an orbit is drawn once a row, and points are plain columns."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    d = df.withColumns({f"_{k}": c for k, c in _orbit(a, key, start_days, seed).items()})
+    d = d.repartition(n, F.xxhash64(key)).withColumn("time", F.explode(F.sequence(F.lit(0), F.lit(days - 1), F.lit(every))))
+    d = d.withColumn("_m", mean_anomaly(F.col("time") + F.col("_start"), F.col("_period")))
+    big = F.col("_m")
+    for _ in range(10):
+        big = F.col("_m") + F.col("_e") * F.sin(big)
+    d = d.withColumn("_big", big)
+    p = _inclined(F.col("_big"), F.col("_axis"), F.col("_e"), F.col("_inclination"))
+    return d.select(*df.columns, "time", *[p[k].alias(k) for k in ("x", "y", "z", "distance")])
+
+
+def _once(value: Column, f) -> Column:
+    """f of value, which is worked out once: within the functions of arrays Spark shares no common parts of an expression,
+    so that a fold would work it out at each of its steps."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def inclined_position(days: Column, a, e, period, inclination, steps: int = 10) -> dict[str, Column]:
     """With the plane tilted about the x axis by inclination (degrees)."""
-    big = eccentric_anomaly(mean_anomaly(days, period), e, steps)
+    return _inclined(eccentric_anomaly(mean_anomaly(days, period), e, steps), a, e, inclination)
+
+
+def _inclined(big: Column, a, e, inclination) -> dict[str, Column]:
     x, y = a * (F.cos(big) - e), a * F.sqrt(1 - e * e) * F.sin(big)
     i = F.radians(inclination)
     return {"x": x, "y": y * F.cos(i), "z": y * F.sin(i), "distance": a * (1 - e * F.cos(big))}

@@ -64,8 +64,8 @@ def solar_system(supplier):
     SELECT k AS c_custkey, time, round(a * (cos(big) - e), 4) + 0.0 AS x, round(a * sqrt(1 - e * e) * sin(big) * cos(i), 4) + 0.0 AS y, round(a * sqrt(1 - e * e) * sin(big) * sin(i), 4) + 0.0 AS z FROM b""")
 def neo_trajectories(customer):
     k = F.col("c_custkey")
-    d = customer.select("c_custkey", F.explode(astro.trajectory((k % 30 / 10.0).cast("double"), k, (k % 100).cast("double"))).alias("p"))
-    return d.select("c_custkey", "p.time", *[r6(f"p.{a}", 4).alias(a) for a in "xyz"])
+    d = astro.trajectories(customer.select("c_custkey"), (k % 30 / 10.0).cast("double"), k, (k % 100).cast("double"))
+    return d.select("c_custkey", "time", *[r6(a, 4).alias(a) for a in "xyz"])
 
 
 @query("embeddings", sql="""

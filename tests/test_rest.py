@@ -78,6 +78,14 @@ def test_shared_degrees_make_no_edges(spark):
     assert big.groupBy("degree").count().collect() == [(500_000, 400_000)]
 
 
+def test_trajectories_are_those_of_each_body_dealt_to_all_tasks(spark):
+    a, start = F.when(F.col("id") % 3 > 0, F.col("id") / 4.0), (F.col("id") * 1.0)
+    d = astro.trajectories(spark.range(0, 9, 1, 1), a, F.col("id"), start)
+    one = spark.range(9).select("id", F.explode(astro.trajectory(a, F.col("id"), start)).alias("p")).select("id", "p.*")
+    assert rows(d) == rows(one) and d.rdd.getNumPartitions() == 8
+    assert str(d._jdf.queryExecution().optimizedPlan()).count("md5") == 2
+
+
 def test_default_spec_and_record(spark):
     assert api.load_spec() == api.load_spec("") == api.DEFAULT_SPEC and api.load_spec('{"id": "x"}') == {"id": "x"} and api.load_spec({"id": 1}) == {"id": 1}
     assert [r.asDict() for r in api.load_data(spark).collect()] == [{"value": 42, "label": "Default"}]
