@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from luminal.functions.scales import piecewise
 from luminal.functions.vectors import cross, distance, unit
 from luminal.operators import multipole
-from luminal.operators.common import cut
+from luminal.operators.common import cut, cut_counted
 from luminal.operators.mapping import lookup
 from luminal.operators.spatial import close_pairs
 
@@ -270,12 +270,38 @@ def probability_cloud(df: DataFrame, uncertainty: str, samples: int = 5, seed: i
     return d.withColumns(at | {"probability": F.coalesce(1 - F.try_divide(r, F.col(uncertainty)), F.lit(1.0))})
 
 
-def heat_zones(zones: DataFrame, spots: DataFrame) -> DataFrame:
+def heat_zones(zones: DataFrame, spots: DataFrame, leaf: int = 16) -> DataFrame:
     """Zones (id, x, z) with the most heat of the spots (x, z, load of 0 or more): max(0, 100 - 10 d) times the load.
-    Beyond a distance of 10 a spot gives none, so zones and spots meet through cells."""
-    from luminal.operators.spatial import within
-
-    z = zones.select("id", "x", F.lit(0.0).alias("y"), "z")
-    s = spots.select(F.col("load").alias("id2"), F.col("x").alias("x2"), F.lit(0.0).alias("y2"), F.col("z").alias("z2"))
-    heat = within(z, s, 10.0).groupBy("id").agg(F.max((100 - F.col("distance") * 10) * F.col("id2")).alias("heat"))
-    return zones.select("id").join(heat, "id", "left").fillna(0.0, ["heat"])
+    Beyond a distance of 10 a spot gives none.
+
+    Zones and spots in one place count once. Cells of zones meet cells of spots, those of 10 first, and both are halved
+    while a cell of spots holds more than leaf. Of a zone cell's pairs only those go on that may give more than another
+    gives at least, so a zone meets few spots however many are near, and the result is exact."""
+    x, z, reach = F.col("x"), F.col("z"), 10.0
+    sound = "x is not null and z is not null and not isnan(x) and not isnan(z) and abs(x) < double('Infinity') and abs(z) < double('Infinity')"
+    s = cut(spots.filter(sound).filter("load > 0").groupBy("x", "z").agg(F.max("load").alias("load")), "heat-spots")
+    places = cut(zones.select("x", "z").filter(sound).distinct(), "heat-places")
+    cell = lambda c, level: F.floor(c / (reach / 2**level)).cast("long")
+    zone_cells = lambda level: places.select(cell(x, level).alias("cx"), cell(z, level).alias("cz")).distinct()
+    spot_cells = lambda level: s.groupBy(cell(x, level).alias("px"), cell(z, level).alias("pz")).agg(F.max("load").alias("load"), F.count("*").alias("n"))
+    up = lambda df, *names: df.withColumns({f"{n}_up": F.floor(F.col(n) / 2).cast("long") for n in names})
+    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    pairs = zone_cells(0).withColumn("px", near("cx")).withColumn("pz", near("cz")).join(spot_cells(0), ["px", "pz"])
+    for level in range(40):  # a place is one point, so cells that are small enough hold few
+        side = reach / 2**level
+        apart = [F.abs(F.col(a) - F.col(b)) for a, b in (("cx", "px"), ("cz", "pz"))]
+        far, close = ([(d + 1) * side for d in apart], [F.greatest(d - 1, F.lit(0)) * side for d in apart])
+        heat = lambda v: F.col("load") * (100 - F.sqrt(v[0] * v[0] + v[1] * v[1]) * 10)
+        sure = F.greatest(F.lit(0.0), F.max(heat(far)).over(W.partitionBy("cx", "cz")))
+        # a little less, for what is rounded off
+        kept = pairs.withColumn("_sure", sure).filter(heat(close) >= F.col("_sure") * (1 - 1e-9) - 1e-9).drop("_sure")
+        pairs, seen = cut_counted(kept, "heat-pairs", full=(F.col("n") > leaf))
+        if not seen["full"]:
+            break
+        old = pairs.select(*[F.col(c).alias(f"{c}_up") for c in ("cx", "cz", "px", "pz")])
+        pairs = old.join(up(zone_cells(level + 1), "cx", "cz"), ["cx_up", "cz_up"]).join(up(spot_cells(level + 1), "px", "pz"), ["px_up", "pz_up"]).select("cx", "cz", "px", "pz", "load", "n")
+    at = places.withColumns({"cx": cell(x, level), "cz": cell(z, level)}).join(pairs.select("cx", "cz", "px", "pz"), ["cx", "cz"])
+    met = at.join(s.select(F.col("x").alias("x2"), F.col("z").alias("z2"), "load", cell(x, level).alias("px"), cell(z, level).alias("pz")), ["px", "pz"])
+    d = F.sqrt((x - F.col("x2")) * (x - F.col("x2")) + (z - F.col("z2")) * (z - F.col("z2")))
+    heat = met.withColumn("_d", d).filter(F.col("_d") <= reach).groupBy("x", "z").agg(F.max((100 - F.col("_d") * 10) * F.col("load")).alias("heat"))
+    return zones.select("id", "x", "z").join(heat, ["x", "z"], "left").select("id", "heat").fillna(0.0, ["heat"])

@@ -3,7 +3,9 @@
 import math
 import random
 
-from luminal.operators import aggregates, domains, temporal
+from pyspark.sql import functions as F
+
+from luminal.operators import aggregates, domains, multipole, temporal
 
 
 def heights(places, size, cell, scale=1.0):
@@ -71,3 +73,26 @@ def test_weighted_samples(spark):
     got = {r.k: (r.expected, r.spread) for r in temporal.expected_value(spark.createDataFrame(field), ["k"]).collect()}
     mean = sum(r.probability * r.value for r in own) / sum(r.probability for r in own)
     assert abs(got["a"][0] - mean) < 1e-6 and got["b"] == (3.0, 0.0)
+
+
+def test_heat_zones_as_the_double_loop(spark):
+    rng = random.Random(4)
+    zones = [(i, rng.uniform(-30, 30), rng.gauss(0, 8)) for i in range(300)] + [(300, None, 1.0), (301, math.nan, 0.0), (302, math.inf, 0.0), (303, 500.0, 0.0)]
+    spots = [(rng.uniform(-30, 30), rng.gauss(0, 8), rng.choice([0.0, 0.5, 1.0, 7.0])) for _ in range(150)] + [(1.0, 1.0, 3.0)] * 40 + [(1.0, 1.0, 2.0), (None, 0.0, 9.0)]
+    z, s = spark.createDataFrame(zones, "id int, x double, z double"), spark.createDataFrame(spots, "x double, z double, load double")
+    sound = [p for p in spots if p[0] is not None]
+    want = {i: max((max(0.0, 100 - 10 * math.hypot(x - a, y - b)) * load for a, b, load in sound), default=0.0) if x is not None and math.isfinite(x) else 0.0 for i, x, y in zones}
+    for leaf in (1, 16):
+        got = {r.id: r.heat for r in domains.heat_zones(z, s, leaf).collect()}
+        assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_heat_zones_among_many_spots(spark):
+    import time
+
+    start = time.time()
+    grid = spark.range(40_000).selectExpr("id", "id % 200 * 0.05d as x", "id div 200 * 0.05d as z", "1d as load")
+    heat = domains.heat_zones(grid.selectExpr("id", "x + 0.01 as x", "z + 0.02 as z"), grid.select("x", "z", "load"))
+    low, high, n = heat.selectExpr("min(heat)", "max(heat)", "count(*)").first()
+    assert n == 40_000 and abs(low - (100 - 10 * math.hypot(0.01, 0.02))) < 1e-6 and abs(high - low) < 1e-6
+    assert time.time() - start < 60
