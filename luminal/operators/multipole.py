@@ -48,7 +48,8 @@ def near_pairs(targets: DataFrame, points: DataFrame, axes: list[str], low: list
     p = points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns])
     p = p.withColumns(_cell([f"p_{a}" for a in axes], theirs, low, side))
     t = _around(targets.withColumns(_cell(axes, mine, low, side)), mine, m, theirs)
-    return t.join(p, theirs).drop(*mine, *theirs)
+    # rows are multiplied before they meet, which Spark's sizes do not know: a broadcast would take them all to the driver
+    return t.hint("merge").join(p, theirs).drop(*mine, *theirs)
 
 
 def far_pairs(targets: DataFrame, cells: DataFrame, axes: list[str], low: list[float], side: float, level: int, m: list[int]) -> DataFrame:
@@ -57,7 +58,7 @@ def far_pairs(targets: DataFrame, cells: DataFrame, axes: list[str], low: list[f
     t = targets.withColumns(_cell(axes, own, low, side * 2**level))
     t = t.withColumns({u: F.floor(F.col(o) / 2).cast("long") for u, o in zip(up, own, strict=True)})
     c = cells.withColumns({f"_p{i}": F.floor(F.col(k) / 2).cast("long") for i, k in enumerate(cell)})
-    met = t.join(_around(c, _names(axes, "_p"), m[level + 1], up).drop(*_names(axes, "_p")), up)
+    met = t.hint("merge").join(_around(c, _names(axes, "_p"), m[level + 1], up).drop(*_names(axes, "_p")), up)
     return met.filter(_apart(own, cell) > m[level]).drop(*own, *up, *cell)
 
 

@@ -96,3 +96,11 @@ def test_heat_zones_among_many_spots(spark):
     low, high, n = heat.selectExpr("min(heat)", "max(heat)", "count(*)").first()
     assert n == 40_000 and abs(low - (100 - 10 * math.hypot(0.01, 0.02))) < 1e-6 and abs(high - low) < 1e-6
     assert time.time() - start < 60
+
+
+def test_sums_over_pairs_do_not_pass_the_driver(spark):
+    axes, low = ["x", "y", "z"], [0.0, 0.0, 0.0]
+    p = spark.range(50).selectExpr("id % 5 * 1d as x", "id % 3 * 1d as y", "id * 1d as z", "1d as n")
+    cells = p.selectExpr("cast(x as long) as _k0", "cast(y as long) as _k1", "cast(z as long) as _k2", "n as p_n").repartition(2, F.col("_k2"))
+    for pairs in (multipole.near_pairs(p.select(*axes), p, axes, low, 1.0, 3), multipole.far_pairs(p.select(*axes), cells, axes, low, 1.0, 0, [3] * 3)):
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
