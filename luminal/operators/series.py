@@ -28,11 +28,16 @@ def runs(df: DataFrame, by: list[str], key: str, *order: str) -> DataFrame:
 
 
 def islands(df: DataFrame, by: list[str], number: str, least: int = 4) -> DataFrame:
-    """Stretches of consecutive numbers with at least so many: by, first, last, n. A repeated number counts once."""
-    d = df.select(*by, number).distinct()
+    """Stretches of consecutive numbers with at least so many: by, first, last, n. A repeated number counts once. Rows are
+    sorted once, which spills; only those with a neighbour in their stretch are aggregated where least is more than 1."""
     w = W.partitionBy(*by).orderBy(number)
-    d = d.withColumn("_island", F.col(number) - F.row_number().over(w))
-    return d.groupBy(*by, "_island").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("_island")
+    c = F.col(number)
+    d = df.select(*by, number).filter(c.isNotNull())
+    d = d.withColumns({"_island": c - F.dense_rank().over(w), "_before": c - F.lag(number).over(w), "_after": F.lead(number).over(w) - c})
+    if least > 1:
+        d = d.filter("_before <= 1 or _after <= 1")
+    d = d.groupBy(*by, "_island").agg(F.min(number).alias("first"), F.max(number).alias("last"))
+    return d.withColumn("n", (F.col("last") - F.col("first") + 1).cast("long")).filter(F.col("n") >= least).drop("_island")
 
 
 def hold_at_least(df: DataFrame, by: list[str], time: str, holds: Column, seconds: float) -> DataFrame:

@@ -161,6 +161,15 @@ def test_islands_and_runs(spark):
     assert sorted((r["first"], r["last"]) for r in series.islands(df, ["chain"], "n").collect()) == [(1, 4), (9, 12)]
 
 
+def test_islands_sort_without_hashing_all_rows(spark):
+    df = spark.createDataFrame([("a", n) for n in (5, 1, 2, 2, 3, 9, 9, 7, 8, 12)] + [("b", 4), ("b", None), (None, 1), (None, 2)], "chain string, n int")
+    got = lambda least: sorted((r.chain or "", r["first"], r["last"], r.n) for r in series.islands(df, ["chain"], "n", least).collect())
+    assert got(2) == [("", 1, 2, 2), ("a", 1, 3, 3), ("a", 7, 9, 3)]
+    assert got(1) == sorted(got(2) + [("a", 5, 5, 1), ("a", 12, 12, 1), ("b", 4, 4, 1)])
+    plan = series.islands(df, ["chain"], "n", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.count("Filter") >= 2
+
+
 def test_ecs(spark):
     e = spark.createDataFrame([(1, ["pos", "vel"]), (2, ["pos"])], "id int, components array<string>")
     s = spark.createDataFrame([("move", ["pos", "gone"])], "name string, queries array<string>")
