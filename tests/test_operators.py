@@ -281,3 +281,28 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError):
         shared_dir(Cluster())
+
+
+def _dense(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.gauss(0, 0.1), rng.gauss(0, 0.1), rng.gauss(0, 0.1)) for _ in range(400)] + [(0.5, 0.5, 0.5)] * 30 + [(5.0, 5.0, 5.0), (None, 0.0, 0.0)]
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(rows)], "id int, x double, y double, z double")
+
+
+def test_nearest_as_all_pairs_and_without_them(spark):
+    import math
+    import time
+
+    p = _dense(spark)
+    rows = [r for r in p.collect() if r.x is not None]
+    for radius, k in ((0.3, 3), (0.02, 1)):
+        want = []
+        for a in rows:
+            near = sorted((math.dist((a.x, a.y, a.z), (b.x, b.y, b.z)), b.id) for b in rows if b.id != a.id)
+            want += [(a.id, i, n + 1) for n, (d, i) in enumerate(near[:k]) if d <= radius]
+        assert sorted((r.id, r.id2, r["rank"]) for r in spatial.nearest(p, radius, k).collect()) == sorted(want)
+    start = time.time()
+    copies = spark.range(60_000).selectExpr("id", "id % 3 * 0.01d as x", "0d as y", "0d as z")
+    assert spatial.nearest(copies, 0.1, 3).groupBy("rank").count().collect() and time.time() - start < 60
