@@ -291,6 +291,13 @@ def _dense(spark):
     return spark.createDataFrame([(i, *p) for i, p in enumerate(rows)], "id int, x double, y double, z double")
 
 
+def test_rips_triangles_are_those_of_the_edges_by_one_join(spark):
+    p = _dense(spark)
+    got = sorted(map(tuple, spatial.rips_triangles(p, 0.05).collect()))
+    assert got and got == sorted(map(tuple, spatial.triangles(spatial.close_pairs(p, 0.05)).collect()))
+    assert spatial.rips_triangles(p, 0.05)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_nearest_as_all_pairs_and_without_them(spark):
     import math
     import time
