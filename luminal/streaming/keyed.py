@@ -305,15 +305,30 @@ class _Book(StatefulProcessor):
         self.sides = handle.getMapState("sides", "side string", "prices array<double>, sizes array<double>")
         self.trades = handle.getListState("trades", "at long, price double, size double")
 
+    @staticmethod
+    def _order(r) -> tuple:
+        """A row's place by ts and seq, those without one last."""
+        return tuple((True, 0) if pd.isna(v) else (False, v) for v in (r["ts"], r["seq"]))
+
     def handleInputRows(self, key, rows, timerValues):
-        new = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable").itertuples(index=False):
-            for side, levels, sign in (("bids", r.bids, -1), ("asks", r.asks, 1)):
-                if levels is not None:
-                    best = sorted(((v["price"], v["size"]) for v in levels), key=lambda v: (sign * v[0], v[1]))[: self.depth]
-                    self.sides.updateValue((side,), ([v[0] for v in best], [v[1] for v in best]))
-            if r.price == r.price and r.price is not None:
-                new.append((int(r.ts.value // 1000), float(r.price), float(r.size)))
+        # part by part: a symbol's rows of a micro-batch may not fit in memory
+        last, trades = {}, []
+        for part in rows:
+            part = part.sort_values(["ts", "seq"], kind="stable")
+            for side in ("bids", "asks"):
+                has = part[part[side].notna()]
+                if len(has):
+                    r = has.iloc[-1]
+                    if side not in last or self._order(r) >= last[side][0]:
+                        last[side] = (self._order(r), r[side])
+            has = part[part["price"].notna()].tail(self.keep)
+            # equal places keep the order in which they came
+            trades = sorted([*trades, *((self._order(r), (int(r.ts.value // 1000), float(r.price), float(r["size"]))) for _, r in has.iterrows())], key=lambda t: t[0])[-self.keep :]
+        for side, (_, levels) in last.items():
+            sign = -1 if side == "bids" else 1
+            best = sorted(((v["price"], v["size"]) for v in levels), key=lambda v: (sign * v[0], v[1]))[: self.depth]
+            self.sides.updateValue((side,), ([v[0] for v in best], [v[1] for v in best]))
+        new = [t for _, t in trades]
         trades = [*(tuple(t) for t in self.trades.get()), *new][-self.keep :]
         if new:
             self.trades.put(trades)

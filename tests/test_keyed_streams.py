@@ -112,3 +112,38 @@ def test_book_over_micro_batches(run):
     assert [x.price for x in first.bids] == [5.0, 3.0] and [x.price for x in first.asks] == [7.0, 8.0] and len(first.trades) == 1
     assert [x.price for x in last.bids] == [4.0] and [x.price for x in last.asks] == [9.0] and [x.price for x in last.trades] == [6.25, 6.5]
     assert [(r.bids, r.trades) for r in got if r.symbol == "t"] == [([], [])]
+
+
+def test_order_book_holds_one_part_of_its_rows():
+    import gc
+    import weakref
+
+    import pandas as pd
+
+    class State(dict):
+        exists = lambda self: True
+        get = lambda self: self.setdefault("rows", [])
+        put = lambda self, rows: self.update(rows=rows)
+        updateValue = dict.__setitem__  # noqa: N815
+        getValue = dict.__getitem__  # noqa: N815
+        containsKey = dict.__contains__  # noqa: N815
+
+    parts, most = [], []
+    level = lambda v: [{"price": v, "size": 1.0}]
+
+    def given():
+        for k in (2, 0, 3, 1):  # in any order
+            seq = [k * 100 + (i * 37) % 100 for i in range(100)]
+            p = pd.DataFrame({"ts": pd.Timestamp("2024-01-01"), "seq": seq, "bids": [level(v) if v % 3 == 0 else None for v in seq], "asks": [level(v) if v % 3 == 1 else None for v in seq], "price": [float(v) if v % 3 == 2 else None for v in seq], "size": 1.0})
+            parts.append(weakref.ref(p))
+            yield p
+            del p
+            gc.collect()
+            most.append(sum(r() is not None for r in parts))
+
+    book = keyed._Book(depth=2, keep=3, show=2)
+    book.sides, book.trades = State(), State()
+    (out,) = list(book.handleInputRows(("s",), given(), None))
+    assert out.bids[0] == level(399.0) and out.asks[0] == level(397.0)
+    assert [t["price"] for t in out.trades[0]] == [395.0, 398.0] and [t[1] for t in book.trades["rows"]] == [392.0, 395.0, 398.0]
+    assert max(most) <= 1
