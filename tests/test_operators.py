@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,23 @@ def test_force_layout_brings_friends_together(spark):
     assert step.count() == 8
 
 
+def test_force_layout_has_room_for_all_nodes(spark):
+    nodes, none = spark.range(20_000), spark.createDataFrame([], "source long, target long, weight double")
+    cells = force.force_layout(nodes, none, ["id"], rounds=0).groupBy(*[F.floor(a) for a in "xyz"]).count()
+    held = [r["count"] for r in cells.collect()]  # a node meets those of its cell, however many nodes there are
+    assert sum(held) == 20_000 and sum(n * n for n in held) / 20_000 < 3
+
+
+def test_pushes_by_blocks_beside_pairs(spark, monkeypatch):
+    monkeypatch.setattr(force, "PAIRS", 50)
+    rng = random.Random(5)
+    places = [(rng.gauss(0, 9), rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(600)] + [(1.0, 1.0, 1.0)] * 2 + [(-16.0, 16.0, 0.0), (-17.0, 16.0, 0.0), (1e6, 0.0, 0.0)]
+    at = spark.createDataFrame([(f"n{i}", *p) for i, p in enumerate(places)], "id string, x double, y double, z double")
+    want = {r.id: r for r in domains.pair_forces(at, 0.7, 0.7, power=1.0).collect()}
+    got = {r.id: r for r in force._pushed(at, 0.7).collect()}
+    assert got.keys() == want.keys() and all(got[k]["f" + a] == pytest.approx(want[k]["f" + a], rel=1e-6, abs=1e-6) for k in want for a in "xyz")
+
+
 def test_time(spark):
     s = spark.createDataFrame([("a", 0.0, 0.0), ("a", 10.0, 100.0)], "k string, ts double, value double")
     assert [r.value for r in temporal.replay(spark, s, -5.0, 15.0, 5.0, ["k"]).orderBy("ts").collect()] == [0.0, 0.0, 50.0, 100.0, 100.0]
