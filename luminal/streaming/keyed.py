@@ -8,6 +8,7 @@ import hashlib
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,7 +166,13 @@ def stream_fixations(gaze: DataFrame, by: str, time: str = "ts", window_ms: int
     return rows.groupBy("key").transformWithStateInPandas(_Fixations(window_ms, spread), out, "append", "EventTime")
 
 
+PIECE, SHOWN = 500, 5000  # messages that wait as one value of the state, and those given out at once
+
+
 class _Receiver(StatefulProcessor):
+    """Messages that wait are kept in pieces, each under its first sequence, so that the state is asked once a piece and
+    not several times a message: numbers and times in one map, which is read whole, types and payloads in another."""
+
     columns = ["channel", "kind", "sequence", "upto", "type", "payload"]
 
     def __init__(self, first: int, patience_ms: int):
@@ -174,36 +181,77 @@ class _Receiver(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.next = handle.getValueState("next", "sequence long")
-        self.early = handle.getMapState("early", "sequence long", "type string, payload string, since long")
+        self.numbers = handle.getMapState("numbers", "first long", "sequences array<bigint>, since array<bigint>")
+        self.bodies = handle.getMapState("bodies", "first long", "types array<string>, payloads array<string>")
         self.timer = handle.getValueState("timer", "ms long")
 
+    def _waiting(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        return {k[0]: tuple(np.array(list(x), np.int64) for x in v) for k, v in self.numbers.iterator()}
+
+    def _keep(self, pieces: dict, sequences: np.ndarray, since: np.ndarray, types: list, payloads: list) -> None:
+        for a in range(0, len(sequences), PIECE):
+            own, first = slice(a, a + PIECE), int(sequences[a])
+            pieces[first] = (sequences[own], since[own])
+            self.numbers.updateValue((first,), (sequences[own].tolist(), since[own].tolist()))
+            self.bodies.updateValue((first,), (types[own], payloads[own]))
+
     def handleInputRows(self, key, rows, timerValues):
-        expected, out, now = self.next.get()[0] if self.next.exists() else self.first, [], timerValues.getCurrentWatermarkInMs()
+        expected, now = self.next.get()[0] if self.next.exists() else self.first, timerValues.getCurrentWatermarkInMs()
+        pieces = self._waiting()
+        held = np.sort(np.concatenate([np.zeros(0, np.int64), *[p[0] for p in pieces.values()]]))
         for part in rows:
-            for r in part.sort_values("sequence", kind="stable").itertuples(index=False):
-                since = now if pd.isna(r.timestamp) else int(r.timestamp.value // 1_000_000)
-                if r.payload is None or r.checksum is None or hashlib.sha256(r.payload.encode()).hexdigest() != r.checksum:
-                    out.append((key[0], "damaged", r.sequence, r.sequence, r.type, None))
-                elif r.sequence < expected or self.early.containsKey((r.sequence,)):
-                    out.append((key[0], "repeat", r.sequence, r.sequence, r.type, None))
-                else:
-                    self.early.updateValue((r.sequence,), (r.type, r.payload, since))
-        expected = self._in_turn(key, expected, out)
+            part = part.sort_values("sequence", kind="stable")
+            sequence, types, payloads = part["sequence"].to_numpy(np.int64), part["type"].tolist(), part["payload"].tolist()
+            sound = np.array([p is not None and c is not None and hashlib.sha256(p.encode()).hexdigest() == c for p, c in zip(payloads, part["checksum"], strict=True)], bool)
+            fresh = np.flatnonzero(sound & (sequence >= expected) & ~np.isin(sequence, held, assume_unique=False))
+            fresh = fresh[np.unique(sequence[fresh], return_index=True)[1]]
+            other = np.ones(len(part), bool)
+            other[fresh] = False
+            other = np.flatnonzero(other).tolist()
+            if other:
+                yield self._frame([(key[0], "repeat" if sound[i] else "damaged", int(sequence[i]), int(sequence[i]), types[i], None) for i in other])
+            since = np.array([now if pd.isna(t) else t.value // 1_000_000 for t in part["timestamp"].iloc[fresh]], np.int64)
+            self._keep(pieces, sequence[fresh], since, [types[i] for i in fresh], [payloads[i] for i in fresh])
+            held = np.sort(np.concatenate([held, sequence[fresh]]), kind="stable")
+        yield from self._apply(key, pieces, held, expected, 0, now)
+
+    def _apply(self, key, pieces, held, expected, least, now):
+        """Gives out the first least of held, with the gaps before them, and all that follow them without a gap."""
+        before = expected - 1 if least == 0 else int(held[least - 1])
+        broken = held[least:] != before + 1 + np.arange(len(held) - least)
+        n = least + (int(np.argmax(broken)) if broken.any() else len(broken))
+        firsts, opened = sorted(pieces, reverse=True), []
+        for a in range(0, n, SHOWN):
+            last, rows, left = int(held[min(a + SHOWN, n) - 1]), [], []
+            while firsts and firsts[-1] <= last:
+                first = firsts.pop()
+                types, payloads = self.bodies.getValue((first,))
+                opened.append((*pieces.pop(first), list(types), list(payloads)))
+                self.numbers.removeKey((first,))
+                self.bodies.removeKey((first,))
+            for sequences, since, types, payloads in opened:
+                k = int(np.searchsorted(sequences, last, "right"))
+                rows += zip(sequences[:k].tolist(), types[:k], payloads[:k], strict=True)
+                if k < len(sequences):
+                    left.append((sequences[k:], since[k:], types[k:], payloads[k:]))
+            opened, out = left, []
+            for sequence, kind, payload in sorted(rows, key=lambda r: r[0]):
+                if sequence > expected:
+                    out.append((key[0], "gap", expected, sequence - 1, None, None))
+                out.append((key[0], "apply", sequence, sequence, kind, payload))
+                expected = sequence + 1
+            yield self._frame(out)
+        for piece in opened:
+            self._keep(pieces, *piece)
         self.next.update((expected,))
-        self._wait(now)
-        yield pd.DataFrame.from_records(out, columns=self.columns)
+        self._wait(pieces, now)
 
-    def _in_turn(self, key, expected, out):
-        while self.early.containsKey((expected,)):
-            kind, payload, _ = self.early.getValue((expected,))
-            out.append((key[0], "apply", expected, expected, kind, payload))
-            self.early.removeKey((expected,))
-            expected += 1
-        return expected
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame.from_records(rows, columns=self.columns)
 
-    def _wait(self, now: int) -> None:
+    def _wait(self, pieces: dict, now: int) -> None:
         """A timer for when the message that has waited longest for an earlier one will have waited long enough."""
-        soon = min((v[2] + self.patience for v in self.early.values()), default=None)
+        soon = min((int(since.min()) + self.patience for _, since in pieces.values()), default=None)
         old = self.timer.get()[0] if self.timer.exists() else None
         if old is not None and old != soon and old > now:
             self.handle.deleteTimer(old)
@@ -215,16 +263,13 @@ class _Receiver(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.timer.clear()
-        out, expected, now = [], self.next.get()[0] if self.next.exists() else self.first, timerValues.getCurrentWatermarkInMs()
-        for (early,) in sorted(k for k in self.early.keys()):
-            if early > expected and self.early.getValue((early,))[2] + self.patience <= now:
-                out.append((key[0], "gap", expected, early - 1, None, None))
-                expected = early
-            if early == expected:
-                expected = self._in_turn(key, expected, out)
-        self.next.update((expected,))
-        self._wait(now)
-        yield pd.DataFrame.from_records(out, columns=self.columns)
+        expected, now = self.next.get()[0] if self.next.exists() else self.first, timerValues.getCurrentWatermarkInMs()
+        pieces = self._waiting()
+        none = np.zeros(0, np.int64)
+        held = np.sort(np.concatenate([none, *[p[0] for p in pieces.values()]]))
+        # what stands before one that has waited long enough goes with it
+        due = np.concatenate([none, *[p[0][p[1] + self.patience <= now] for p in pieces.values()]])
+        yield from self._apply(key, pieces, held, expected, int(np.searchsorted(held, due.max(), "right")) if len(due) else 0, now)
 
     def close(self) -> None:
         pass

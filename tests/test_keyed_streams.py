@@ -81,6 +81,43 @@ def test_receiver_of_shuffled_repeated_damaged_and_lost_messages(run):
     assert [x for x in got if x[0] == "damaged"] == [("damaged", 4, 4)] and [x for x in got if x[0] == "gap"] == [("gap", 5, 5), ("gap", 7, 7)]
 
 
+def test_receiver_asks_its_state_once_a_piece():
+    import pandas as pd
+
+    calls = []
+
+    class State(dict):
+        exists = lambda self: "v" in self
+        get = lambda self: self["v"]
+        update = lambda self, v: self.__setitem__("v", v)
+        clear = dict.clear
+        containsKey = lambda self, k: calls.append(k) or k in self  # noqa: E731, N815
+        getValue = lambda self, k: calls.append(k) or self[k]  # noqa: E731, N815
+        updateValue = lambda self, k, v: calls.append(k) or self.__setitem__(k, v)  # noqa: E731, N815
+        removeKey = lambda self, k: calls.append(k) or self.pop(k)  # noqa: E731, N815
+        iterator = lambda self: iter(list(self.items()))
+        keys = lambda self: iter(list(dict.keys(self)))
+        values = lambda self: iter(list(dict.values(self)))
+
+    class Handle:
+        getValueState = getMapState = lambda self, *_: State()  # noqa: E731, N815
+        registerTimer = deleteTimer = lambda self, ms: None  # noqa: E731, N815
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 1 << 42  # noqa: E731, N815
+
+    sent = [message(n) for n in range(1, 12_001) if n % 3000 != 7]
+    random.Random(8).shuffle(sent)
+    parts = [pd.DataFrame(sent[k : k + 3000] + sent[:5], columns=["channel", "sequence", "type", "timestamp", "payload", "checksum"]) for k in range(0, len(sent), 3000)]
+    receiver = keyed._Receiver(1, 0)
+    receiver.init(Handle())
+    got = pd.concat([*receiver.handleInputRows(("c",), iter(parts), Now()), *receiver.handleExpiredTimer(("c",), Now(), None)])
+    assert got[got.kind == "apply"].sequence.tolist() == sorted(m[1] for m in sent) and (got.kind == "repeat").sum() == 20
+    assert got[got.kind == "apply"].payload.tolist() == [f"[{n}]" for n in sorted(m[1] for m in sent)]
+    assert got[got.kind == "gap"][["sequence", "upto"]].values.tolist() == [[n, n] for n in (7, 3007, 6007, 9007)]
+    assert len(calls) < 1000 and not any(receiver._waiting())
+
+
 def test_buffer_beside_a_plain_one(run):
     rng, rows = random.Random(4), []
     for at in range(200):
