@@ -23,19 +23,19 @@ def state_store(spark: SparkSession) -> None:
 
 
 def _micros(values: pd.Series) -> list[int]:
-    return [int(v.value // 1000) for v in values]
+    return values.to_numpy("datetime64[us]").astype(np.int64).tolist()
 
 
 class _InOrder(StatefulProcessor):
     """Rows of a key wait until the watermark has passed them, then go to ready() in order of time. One timer is set,
-    for the earliest that waits."""
+    for the earliest that waits, so that the rows tell it. Each question to the state is a message to another process:
+    there are few, and no frame is made of no rows, since keys are many."""
 
     fields = ""  # of a waiting row, besides its time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", f"at long, {self.fields}")
-        self.timer = handle.getValueState("timer", "ms long")
 
     def ready(self, key: tuple, rows: list[tuple]) -> list[tuple]:
         raise NotImplementedError
@@ -44,31 +44,31 @@ class _InOrder(StatefulProcessor):
         """(time in microseconds, fields) of input rows; those without a time are passed over."""
         raise NotImplementedError
 
-    def _go(self, key: tuple, new: list[tuple], watermark_ms: int) -> list[tuple]:
-        rows = [*self.waiting.get(), *new]
-        due = sorted((tuple(r) for r in rows if r[0] <= watermark_ms * 1000), key=lambda r: tuple((v is not None, v) for v in r))
-        rest = [tuple(r) for r in rows if r[0] > watermark_ms * 1000]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        old = self.timer.get()[0] if self.timer.exists() else None
+    def _go(self, key: tuple, new: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        old = [tuple(r) for r in self.waiting.get()]
+        due, rest = [], []
+        for r in (*old, *new):
+            (due if r[0] <= watermark_ms * 1000 else rest).append(r)
+        if rest:
+            self.waiting.put(rest)
+        elif old:
+            self.waiting.clear()
         # a timer goes off once the watermark is beyond it
-        soon = min(-(-r[0] // 1000) for r in rest) if rest else None
-        if old is not None and old != soon and old > watermark_ms:
-            self.handle.deleteTimer(old)
-        if soon is not None:
-            if old != soon:
-                self.handle.registerTimer(soon)
-            self.timer.update((soon,))
-        else:
-            self.timer.clear()
-        return self.ready(key, due) if due else []
+        was, soon = (min((-(-r[0] // 1000) for r in rows), default=None) for rows in (old, rest))
+        if was is not None and was != soon and was > watermark_ms:
+            self.handle.deleteTimer(was)
+        if soon is not None and soon != was:
+            self.handle.registerTimer(soon)
+        out = self.ready(key, sorted(due, key=lambda r: tuple((v is not None, v) for v in r))) if due else []
+        if out:
+            yield self.frame(out)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [r for p in rows for r in self.row(p)]
-        yield self.frame(self._go(key, new, timerValues.getCurrentWatermarkInMs()))
+        yield from self._go(key, new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        yield self.frame(self._go(key, [], timerValues.getCurrentWatermarkInMs()))
+        yield from self._go(key, [], timerValues.getCurrentWatermarkInMs())
 
     def frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame.from_records(rows, columns=self.columns)

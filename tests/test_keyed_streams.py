@@ -59,6 +59,42 @@ def test_fixations_of_shuffled_samples(spark, run):
     assert sorted((r.key, ms(r.ts), round(r.span, 6), round(r.center_pitch, 6)) for r in got if r.ts < DAY + timedelta(minutes=30)) == want and want
 
 
+def test_fixations_ask_their_state_seldom():
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        rows = None
+        exists = lambda self: calls.append("exists") or self.rows is not None
+        get = lambda self: calls.append("get") or (self.rows or [])
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = rows
+
+        update = put
+        clear = lambda self: self.put(None)
+
+    class Handle:
+        getListState = getValueState = lambda self, *_: State()  # noqa: E731, N815
+        registerTimer = lambda self, ms: calls.append(ms)  # noqa: E731, N815
+        deleteTimer = registerTimer  # noqa: N815
+
+    class Now:
+        ms = 0
+        getCurrentWatermarkInMs = lambda self: self.ms  # noqa: E731, N815
+
+    fixations, now = keyed._Fixations(100, 2.0), Now()
+    fixations.init(Handle())
+    part = pd.DataFrame({"ts": [pd.Timestamp(30, unit="ms"), pd.Timestamp(20, unit="ms")], "yaw": [1.0, 2.0], "pitch": [0.0, None]})
+    assert not list(fixations.handleInputRows(("a",), iter([part]), now)) and calls == ["get", "put", 20]
+    now.ms = 40
+    (out,) = fixations.handleExpiredTimer(("a",), now, None)
+    assert out.ts.tolist() == [pd.Timestamp(20, unit="ms"), pd.Timestamp(30, unit="ms")] and out.span.tolist() == [0.0, 1.0]
+    assert len(calls) <= 7
+
+
 def message(n, good=True, minute=0):
     payload = f"[{n}]"
     return ("c", n, "batch", DAY + timedelta(minutes=minute), payload, hashlib.sha256(payload.encode()).hexdigest() if good else "bad")
