@@ -162,7 +162,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 def _by_simhash(nodes: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b) of nodes (node, fp) that SimHash proposes."""
-    of_fp = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    of_fp = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")), "near-fps")
     equal = nodes.join(of_fp, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     near = hamming_links(of_fp.select("fp"), most, 8)
     name = lambda c: of_fp.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}"))
@@ -184,12 +184,13 @@ def _apart(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _met(placed: DataFrame, round_: int) -> DataFrame:
     """Pairs (a, b) of a round: each text with the best of its key's texts (the one with the least of its own), those of
     the best one's component with the best beyond it, and each with the best of a few drawn by hash. A shingle's texts are
-    joined to their best in slices, and what is told of a shingle goes to each of its slices."""
+    joined to their best in slices, and what is told of a shingle goes to each of its slices. Texts beside their best are
+    written once: three parts read them, and each would hold their exchanges again in a plan that the driver keeps."""
     slices = F.ceil(F.col("k") / SLICE)
     placed = placed.withColumn("slice", F.pmod(F.xxhash64("one.node", F.lit("slice")), slices))
     to_slices = lambda of_key: of_key.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("k")
     best = placed.groupBy("key", "k").agg(F.max(F.struct("one", "root")).alias("best"))
-    beside = placed.join(to_slices(best), ["key", "slice"])
+    beside = cut(placed.join(to_slices(best), ["key", "slice"]), "near-beside")
     second = to_slices(beside.filter("root <> best.root").groupBy("key", "k").agg(F.max("one").alias("two")))
     cell = F.pmod(F.xxhash64("one.node", F.lit(round_)), F.ceil(F.col("k") / CELL))
     dealt = placed.withColumn("cell", cell)
@@ -215,7 +216,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links, roots, tried = None, None, None
     for round_ in range(ROUNDS):
         pairs = _met(_apart(entries, roots), round_)
-        pairs = cut(pairs.union(_by_simhash(nodes, most)).distinct() if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = cut(pairs.union(cut(_by_simhash(nodes, most), "near-simhash")).distinct() if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
         found = _linked(pairs, texts, width)
         links = found if links is None else links.union(found)
