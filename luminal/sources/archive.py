@@ -33,29 +33,36 @@ def _sound(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == math.inf), None).otherwise(c)
 
 
-def interleaved(steps: list[Column], bits: int) -> Column:
-    """The whole numbers of bits bits, a bit of each in turn, the highest first: a Z-order key."""
-    parts = [F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1)), len(steps) * b + len(steps) - 1 - i) for i, c in enumerate(steps) for b in range(bits)]
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+def interleaved(df: DataFrame, steps: list[str], bits: int, name: str) -> DataFrame:
+    """df with name, a Z-order key: a bit of each of the columns steps (whole numbers of bits bits) in turn, the highest
+    first; null if one of them is. The bits of a step move apart by halves, each half a column of its own: bit by bit in
+    one expression, the method that Spark generates is too long for the JVM to compile, and every row is interpreted."""
+    n, width = len(steps), 1 << (bits - 1).bit_length()
+    parts = {f"_part{i}": F.col(s).cast("long") for i, s in enumerate(steps)}
+    out = df.withColumns(parts)
+    while width > 1:
+        width //= 2
+        mask = F.lit(sum(1 << (b // width * width * n + b % width) for b in range(bits))).cast("long")
+        out = out.withColumns({p: F.col(p).bitwiseOR(F.shiftleft(F.col(p), width * (n - 1))).bitwiseAND(mask) for p in parts})
+    return out.withColumn(name, reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.col(p), n - 1 - i) for i, p in enumerate(parts)])).drop(*parts)
 
 
 def store(df: DataFrame, path: str, time: str = "ts", id_col: str = "id", files: int | None = None) -> Archive:
     """Writes df (x, y, z, time and any other columns) to path for searches. files: how many, by default as many as
     there are shuffle partitions. Rows that lack a place or a time, or whose place is not finite, are kept apart; a
-    search that does not ask for what they lack finds them too. The columns _cell and _key are the archive's own."""
+    search that does not ask for what they lack finds them too. The columns _cell, _key, _step* and _part* are the archive's own."""
     spark = df.sparkSession
     values = [_sound(F.col(a).cast("double")) for a in AXES] + [_micros(df, time)]
     bounds = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(values) for f, n in ((F.min, "low"), (F.max, "high"))])
     bounds = cut(bounds, "archive-bounds")
     row = bounds.first().asDict()
-    steps = []
+    steps = {}
     for i, v in enumerate(values):
         low, high = row[f"low{i}"], row[f"high{i}"]
         width = (high - low) / (1 << BITS) if low is not None and high > low else 1.0
-        steps.append(F.least(F.lit((1 << BITS) - 1), F.floor((v - F.lit(low or 0.0)) / width)).cast("long"))
-    whole = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
-    key = F.when(whole, interleaved(steps, BITS)).otherwise(-1)
-    rows = df.withColumn("_key", key).withColumn("_cell", F.shiftright("_key", 4 * (BITS - COARSE)).cast("int"))
+        steps[f"_step{i}"] = F.when(v.isNotNull(), F.least(F.lit((1 << BITS) - 1), F.floor((v - F.lit(low or 0.0)) / width)))
+    rows = interleaved(df.withColumns(steps), list(steps), BITS, "_key").drop(*steps).withColumn("_key", F.coalesce("_key", F.lit(-1).cast("long")))
+    rows = rows.withColumn("_cell", F.shiftright("_key", 4 * (BITS - COARSE)).cast("int"))
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     # ties of the key are dealt by id, so that equal places fill several files
     rows.repartitionByRange(n, "_key", id_col).sortWithinPartitions("_cell", "_key").write.partitionBy("_cell").parquet(f"{path}/rows")

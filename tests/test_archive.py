@@ -99,3 +99,25 @@ def test_an_empty_table_and_one_place(spark, tmp_path):
     assert kept.in_volume((0, 0, 0), (1, 1, 1)).count() == kept.in_time(DAY, DAY).count() == kept.nearest_in_time(DAY).count() == kept.trail(DAY, DAY).count() == 0
     one = archive.store(spark.createDataFrame([(1, 1.0, 1.0, 1.0, DAY, "", 0, 0.0)], SCHEMA), f"file://{tmp_path}/b")
     assert ids(one.in_volume((1, 1, 1), (1, 1, 1))) == ids(one.nearest_in_time("1970-01-01 00:00:00")) == ["1"]
+
+
+def test_the_key_is_compiled_and_as_bit_by_bit(spark, tmp_path, monkeypatch):
+    """The JVM interprets methods of 8,000 bytes and more; the key's bits are those of the steps in turn."""
+    seen = []
+    kind = type(spark.range(1))
+    dealt = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, *a: (seen.append(self), dealt(self, *a))[1])
+    df = spark.createDataFrame(records(), SCHEMA)
+    kept = archive.store(df, f"file://{tmp_path}/a", files=4)
+    code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+    parts = code.codegenStringSeq(seen[0]._jdf.queryExecution().executedPlan())
+    sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    assert sizes and max(sizes) < 8000, sizes
+    low, high = zip(*kept.bounds, strict=True)
+    for r in kept.rows.collect():
+        at = [r.x, r.y, r.z, None if r.ts is None else (r.ts - datetime(1970, 1, 1)) / timedelta(microseconds=1)]
+        key = -1
+        if all(v is not None and math.isfinite(v) for v in at):
+            steps = [min((1 << 15) - 1, math.floor((v - a) / ((b - a) / (1 << 15)))) for v, a, b in zip(at, low, high, strict=True)]
+            key = sum(((s >> b) & 1) << (4 * b + 3 - i) for i, s in enumerate(steps) for b in range(15))
+        assert (r["_key"], r["_cell"]) == (key, key >> 52)
