@@ -316,6 +316,63 @@ def test_rips_triangles_are_those_of_the_edges_by_one_join(spark):
     assert spatial.rips_triangles(p, 0.05)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
 
 
+def _all_triangles(rows, radius):
+    near = lambda a, b: math.sqrt(sum((x - y) * (x - y) for x, y in zip(a[1:], b[1:], strict=True))) <= radius
+    later = {a[0]: [b for b in rows if a[0] < b[0] and near(a, b)] for a in rows}
+    return sorted((i, b[0], c[0]) for i, bs in later.items() for b in bs for c in bs if b[0] < c[0] and near(b, c))
+
+
+def test_rips_triangles_shuffle_points_and_no_pairs(spark):
+    n, sc = 400, spark.sparkContext
+    p = spark.range(n).select("id", *[(F.pmod(F.xxhash64("id", F.lit(a)), F.lit(100)) / 10000.0).alias(a) for a in "xyz"])
+    sc.setJobGroup("rips", "rips")
+    try:
+        assert spatial.rips_triangles(p, 0.05).count() == math.comb(n, 3)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("rips") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    rows = sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert 14 * n <= rows < 50 * n  # of 79,800 pairs
+
+
+def test_rips_triangles_at_odd_places(spark):
+    """On both sides of a cell's edge, too far out for numbers of cells, nowhere, in one place; and ids of text."""
+    rows = [(0, -1e-20, 0.0, 0.0), (1, 0.05, 0.0, 0.0), (2, 0.02, 0.0, 0.0), (3, 3e38, 1.0, -3e38), (4, 3e38, 1.0, -3e38), (5, 3e38, 1.02, -3e38)]
+    rows += [(6, 0.3, 0.1, 0.7), (7, 0.3, 0.1, 0.7), (8, 0.3, 0.1, 0.7), (9, 0.34, 0.1, 0.7), (10, 0.3, 0.13, 0.7)]
+    nowhere = [(11, None, 0.0, 0.0), (12, float("nan"), 0.0, 0.0), (13, float("nan"), 0.0, 0.0), (14, float("inf"), 0.0, 0.0), (15, float("inf"), 0.0, 0.0), (None, 0.3, 0.1, 0.7)]
+    p = spark.createDataFrame(rows + nowhere, "id long, x double, y double, z double")
+    want = _all_triangles(rows, 0.05)
+    assert {(0, 1, 2), (3, 4, 5), (6, 7, 8), (7, 8, 9)} <= set(want)
+    assert sorted(map(tuple, spatial.rips_triangles(p, 0.05).collect())) == want
+    text = p.withColumn("id", F.concat(F.lit("p"), "id"))
+    as_text = _all_triangles([(f"p{r[0]}", *r[1:]) for r in rows], 0.05)
+    assert sorted(map(tuple, spatial.rips_triangles(text, 0.05).collect())) == as_text
+    assert sorted(map(tuple, spatial.rips_triangles(p, 0.0).collect())) == _all_triangles(rows, 0.0) == [(6, 7, 8)]
+    assert spatial.rips_triangles(p, -1.0).count() == spatial.rips_triangles(p.limit(0), 0.05).count() == 0
+
+
+def test_rips_triangles_in_small_pieces(spark, monkeypatch):
+    """A cell's rows come in several batches, and its pairs in several blocks."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(spatial, "CHUNK", 50)
+    p = _dense(spark)
+    want = _all_triangles([tuple(r) for r in p.collect() if r.x is not None], 0.05)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        assert sorted(map(tuple, spatial.rips_triangles(p, 0.05).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(spatial, "PAIRS", 40)
+    rng = random.Random(8)
+    rows = [(i, *(rng.random() * 0.06 for _ in range(3))) for i in range(60)]
+    table = pa.table({"cx": [0] * 60, "cy": [0] * 60, "cz": [0] * 60, "slice": [0] * 60, **{c: list(v) for c, v in zip(("id", "x", "y", "z"), zip(*rows, strict=True), strict=True)}, "home": [True] * 60, "own": [True] * 60})
+    batches = list(spatial._triangles_of(table, spatial._square(0.05)))
+    got = sorted(tuple(sorted((r["a"], r["b"], c))) for b in batches for r in b.to_pylist() for c in r["c"])
+    assert len(batches) > 100 and got == _all_triangles(rows, 0.05)
+
+
 def test_nearest_as_all_pairs_and_without_them(spark):
     import math
     import time
